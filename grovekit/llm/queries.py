@@ -13,9 +13,17 @@ from .common import table
 from .mixing import mix_counts
 from .pieces import encode_decode
 from .quality import quality_rules
+from .secrets import all_spans, count_of, secret_spans, span_list
 from .simhash import simhash_dedup
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    secrets = F.col("secrets")
+    counts = [count_of(secrets, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(span_list(secrets.strong), 256).alias("base_sha256"), span_list(all_spans(secrets)).alias("spans"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_counts(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
