@@ -32,4 +32,4 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-SQL = {"op4_mix_sources": OP4}
+SQL = {"op4_mix_sources": OP4, "op9_exact_top_k": OP9}

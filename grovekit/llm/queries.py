@@ -14,9 +14,15 @@ from .mixing import mix_counts
 from .pieces import encode_decode
 from .quality import quality_rules
 from .secrets import all_spans, count_of, secret_spans, span_list
+from .tokens import token_counts
+from .topk import top_k, whole_vectors
 from .simhash import simhash_dedup
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     secrets = F.col("secrets")
@@ -39,6 +45,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
