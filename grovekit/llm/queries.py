@@ -14,6 +14,7 @@ from .mixing import mix_counts
 from .pieces import encode_decode
 from .quality import quality_rules
 from .secrets import all_spans, count_of, secret_spans, span_list
+from .substrings import remove_repeats
 from .tokens import token_counts
 from .topk import top_k, whole_vectors
 from .simhash import simhash_dedup
@@ -23,6 +24,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), content=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     secrets = F.col("secrets")

@@ -20,3 +20,21 @@ def base_row(text):
     spans = base_spans(text)
     line = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
     return (*(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(line.encode()).hexdigest())
+
+
+def removed(texts, length=200):
+    """(bytes, removed bytes, spans, sha256 of the rest) of each text."""
+    from collections import Counter
+
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(r, gone, strict=True) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
