@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table
 from .mixing import mix_counts
+from .pages import main_text
 from .pieces import encode_decode
 from .quality import quality_rules
 from .secrets import all_spans, count_of, secret_spans, span_list
@@ -51,6 +52,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
