@@ -63,9 +63,9 @@ def _window_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int = LENGTH, short: int = SHORT) -> tuple[np.ndarray, ...]:
-    """(text number, key, start, number of starts, whether its key lies in it twice) of the runs of starts with one key.
+    """(text number, key, start, number of starts, whether its key lies in it twice, hash of its bytes) of the runs of starts with one key.
 
-    Only a run of the last sort can hold one string at two starts.
+    Only a run whose key lies in it twice can hold one string at two starts.
     """
     out: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, bytes]] = []
@@ -75,7 +75,8 @@ def runs(texts: list[bytes], length: int = LENGTH, short: int = SHORT) -> tuple[
         nonlocal size
         if held:
             lengths = np.array([len(x) for _, _, x in held])
-            data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
+            blob = b"".join(x for _, _, x in held)
+            data = np.frombuffer(blob, np.uint8)
             h, width = _hashes(data, short), length - short + 1
             least = _window_least(h, width)
             ends = np.cumsum(lengths)
@@ -89,7 +90,8 @@ def runs(texts: list[bytes], length: int = LENGTH, short: int = SHORT) -> tuple[
             base = np.append(0, np.cumsum(within)[:-1])
             equal = h[np.arange(within.sum()) + np.repeat(at[heads] - base, within)] == np.repeat(key[heads], within)
             alike = np.add.reduceat(equal, base, dtype=np.int64) > 1 if len(base) else np.empty(0, bool)
-            out.append((np.array([i for i, _, _ in held])[own[heads]], key[heads], (at + place[own])[heads], count, alike))
+            body = np.fromiter((xxhash.xxh3_64_intdigest(blob[a : a + n]) for a, n in zip(at[heads].tolist(), (count + length - 1).tolist(), strict=True)), np.uint64, len(heads))
+            out.append((np.array([i for i, _, _ in held])[own[heads]], key[heads], (at + place[own])[heads], count, alike, body))
             held.clear()
             size = 0
 
@@ -103,7 +105,7 @@ def runs(texts: list[bytes], length: int = LENGTH, short: int = SHORT) -> tuple[
                     flush()
     flush()
     if not out:
-        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, bool))
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, bool, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -140,11 +142,11 @@ def transform(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.
     for i in range(have):
         key = key << bits | np.roll(data, -i)
     while True:
-        rows = np.argsort(key, kind="stable")
+        rows = np.argsort(key)
         sorted_ = key[rows]
         rank = np.empty(n, np.int64)
         rank[rows] = np.append(0, np.cumsum(sorted_[1:] != sorted_[:-1]))
-        if have == order:
+        if have == order or rank[rows[-1]] == n - 1:
             break
         step = min(have, order - have)
         key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
@@ -216,11 +218,6 @@ def _u(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _halves(pieces: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">u8").astype(np.uint64).reshape(-1, 2)
-    return _u(np.ascontiguousarray(both[:, 0])), _u(np.ascontiguousarray(both[:, 1]))
-
-
 class _Search:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, length: int):
         spark = docs.sparkSession
@@ -231,122 +228,122 @@ class _Search:
         # a row is told by its id and text: equal rows have equal results
         self.base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("hash"), "text")
 
-    def run_table(self) -> DataFrame:
+    def places(self, texts: DataFrame, starts: int) -> DataFrame:
+        """(id, hash, key, body, start, count, times): the pieces of all texts, or the finer ones of the runs in `later`."""
         length, short = self.length, self.short
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own, key, start, count, alike = runs([t.encode() for t in b.column(2).to_pylist()], length, short)
+                raws = [t.encode() for t in b.column(2).to_pylist()]
+                if starts:
+                    found = []
+                    for at, (raw, own) in enumerate(zip(raws, b.column(3).to_pylist(), strict=True)):
+                        for r in own:
+                            for key, s, n in finer(raw, r["start"], r["count"], r["key"] & (1 << 64) - 1, starts, length, short):
+                                alike = n > 1 and len({raw[i : i + length] for i in range(s, s + n)}) < n
+                                found.append((at, key, s, n, alike, xxhash.xxh3_64_intdigest(raw[s : s + n + length - 1])))
+                    own, key, start, count, alike, body = (np.array([f[i] for f in found], t) for i, t in enumerate((np.int64, np.uint64, np.int64, np.int64, bool, np.uint64)))
+                else:
+                    own, key, start, count, alike, body = runs(raws, length, short)
                 take = pa.array(own)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), _u(key), pa.array(start), pa.array(count.astype(np.int32)), pa.array(1 + alike.astype(np.int32))], ["id", "hash", "key", "start", "count", "times"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), _u(key), _u(body), pa.array(start), pa.array(count.astype(np.int32)), pa.array(1 + alike.astype(np.int32))], ["id", "hash", "key", "body", "start", "count", "times"])
 
-        return self.base.mapInArrow(run, f"id {self.kind}, hash bigint, key bigint, start bigint, count int, times int")
+        return texts.mapInArrow(run, f"id {self.kind}, hash bigint, key bigint, body bigint, start bigint, count int, times int")
 
-    def pieces(self, texts: DataFrame, starts: int, content: bool) -> DataFrame:
-        """From (id, hash, text, runs): the pieces' places, or at most two equal ones a task with their bytes."""
-        length, short = self.length, self.short
+    def bodies(self, texts: DataFrame) -> DataFrame:
+        """(key, body, bytes) of the pieces in `mixed`; a task sends one twice at most, the second time without bytes."""
+        length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[bytes, int] = {}
+            seen: dict[tuple[int, int], int] = {}
             for b in batches:
-                for at, (text, own) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    raw, found = text.encode(), []
+                keys, hashes, sent = [], [], []
+                for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    raw = text.encode() if own else b""
                     for r in own:
-                        key = r["key"] & (1 << 64) - 1
-                        if starts:
-                            found += finer(raw, r["start"], r["count"], key, starts, length, short)
-                        else:
-                            found.append((key, r["start"], r["count"]))
-                    bodies = [raw[s : s + n + length - 1] for _, s, n in found]
-                    keys = np.array([k for k, _, _ in found], np.uint64)
-                    if not content:
-                        h1, h2 = _halves(bodies)
-                        take = pa.array(np.full(len(found), at))
-                        yield pa.RecordBatch.from_arrays([_u(keys), h1, h2, b.column(0).take(take), b.column(1).take(take), pa.array([s for _, s, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int32())], ["key", "h1", "h2", "id", "hash", "start", "count"])
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    fresh = []
-                    for i, body in enumerate(bodies):
-                        h = xxhash.xxh3_128_digest(body)
-                        if (n := seen.get(h, 0)) < 2:
-                            seen[h] = n + 1
-                            fresh.append(i)
-                    yield pa.RecordBatch.from_arrays([_u(keys[fresh]), pa.array([bodies[i] for i in fresh], pa.binary())], ["key", "body"])
-
-        schema = "key bigint, body binary" if content else f"key bigint, h1 bigint, h2 bigint, id {self.kind}, hash bigint, start bigint, count int"
-        return texts.select("id", "hash", "text", "runs").mapInArrow(run, schema)
+                        piece = (r["key"], r["body"])
+                        if (n := seen.get(piece, 0)) < 2:
+                            seen[piece] = n + 1
+                            keys.append(piece[0])
+                            hashes.append(piece[1])
+                            sent.append(None if n else raw[r["start"] : r["start"] + r["count"] + length - 1])
+                if len(seen) > 500_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sent, pa.binary())], ["key", "body", "bytes"])
+
+        return texts.select("text", "mixed").mapInArrow(run, "key bigint, body bigint, bytes binary")
 
     def judged(self, bodies: DataFrame) -> DataFrame:
-        """(key, h1, h2, cover): the covered bytes of each different piece, by transforms of whole keys."""
+        """(key, body, cover): the covered bytes of each different piece, by transforms of whole keys."""
         length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups: list[tuple[int, dict[bytes, int]]] = []
+            groups: list[tuple[int, dict[int, list]]] = []
             size = 0
 
             def close() -> pa.RecordBatch:
-                groups_ = [(k, g) for k, g in groups if len(g) > 1 or any(n > 1 or len(x) > length for x, n in g.items())]
-                keys = [k for k, g in groups_ for _ in g]
-                bodies = [x for _, g in groups_ for x in g]
-                twice = [x for _, g in groups_ for x, n in g.items() if n > 1]
-                covers = repeats(bodies + twice, length)[: len(bodies)] if bodies else []
+                all_ = [(key, h, x, n) for key, g in groups for h, (x, n) in g.items()]
+                twice = [x for _, _, x, n in all_ if n > 1]  # two copies tell as much as many
+                covers = repeats([x for _, _, x, _ in all_] + twice, length)[: len(all_)] if all_ else []
                 some = [i for i, c in enumerate(covers) if c]
-                h1, h2 = _halves([bodies[i] for i in some])
                 cover = pa.array([[{"a": a, "b": b} for a, b in covers[i]] for i in some], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
                 groups.clear()
-                return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.int64()), h1, h2, cover], ["key", "h1", "h2", "cover"])
+                return pa.RecordBatch.from_arrays([pa.array([all_[i][0] for i in some], pa.int64()), pa.array([all_[i][1] for i in some], pa.int64()), cover], ["key", "body", "cover"])
 
             for b in batches:
-                for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for key, h, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     if not groups or groups[-1][0] != key:
                         if size >= CHUNK:
                             yield close()
                             size = 0
                         groups.append((key, {}))
-                    own = groups[-1][1]
-                    if (n := own.get(body, 0)) < 2:  # two copies tell as much as many
-                        own[body] = n + 1
-                        size += len(body)
+                    own = groups[-1][1].setdefault(h, [None, 0])
+                    own[1] += 1
+                    if piece is not None and own[0] is None:
+                        own[0] = piece
+                        size += len(piece)
             if groups:
                 yield close()
 
         dealt = bodies.repartition("key").sortWithinPartitions("key")
-        return dealt.mapInArrow(run, "key bigint, h1 bigint, h2 bigint, cover array<struct<a:int,b:int>>")
+        return dealt.mapInArrow(run, "key bigint, body bigint, cover array<struct<a:int,b:int>>")
 
-    def with_text(self, places: DataFrame, texts: DataFrame) -> DataFrame:
-        own = places.groupBy("id", "hash").agg(F.array_distinct(F.collect_list(F.struct("start", "count", "key"))).alias("runs"))
-        own = own.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "runs")
-        return texts.select("id", "hash", "text").join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("id", "hash", "text", "runs")
+    def with_text(self, own: DataFrame, texts: DataFrame) -> DataFrame:
+        """Texts with arrays `mixed` and `later` of their pieces, by `kind`: 0 (neither), 1 or 2."""
+        of = lambda kind: F.array_distinct(F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "count", "key", "body"))))
+        own = own.groupBy("id", "hash").agg(of(1).alias("mixed"), of(2).alias("later"))
+        own = own.withColumnsRenamed({"id": "_id", "hash": "_hash"})
+        return texts.select("id", "hash", "text").join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("id", "hash", "text", "mixed", "later")
 
     def spans(self) -> tuple[DataFrame, DataFrame]:
         """Texts with a key that occurs twice, and (id, hash, spans) of those with repeats."""
-        table = self.run_table()
-        twice = table.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
-        asked = texts = written(self.with_text(table.join(twice, "key", "left_semi"), self.base), "substring-texts")
-        found = None
+        texts, asked, found = self.base, None, []
         for starts in (0, *FINER):
-            places = self.pieces(texts, starts, content=False)
-            bodies = self.pieces(texts, starts, content=True)
-            hot = None
-            if starts != 1:
-                different = places.groupBy("key", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("key").count()
-                hot = checkpoint(different.filter(F.col("count") > MEET).select("key"))
-                hot = None if hot.isEmpty() else hot
-            later = places.join(hot, "key", "left_semi") if hot else None
-            if hot:
-                bodies = bodies.join(hot, "key", "left_anti")
-            covers = self.judged(bodies)
-            part = places.join(covers, ["key", "h1", "h2"]).select("id", "hash", F.explode("cover").alias("c"), "start")
-            part = part.select("id", "hash", (F.col("start") + F.col("c.a")).alias("a"), (F.col("start") + F.col("c.b")).alias("b"))
-            found = part if found is None else found.unionByName(part)
-            if not hot:
+            table = written(self.places(texts, starts), "substring-places")
+            keys = table.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b"), F.max("times").alias("most")).filter("times > 1")
+            # one piece, several times, with no string twice in it: covered whole. Else a transform tells
+            kind = F.when((F.col("a") == F.col("b")) & (F.col("most") == 1), 0).when(F.col("n") <= MEET, 1).otherwise(2)
+            own = written(table.drop("times").join(keys.select("key", kind.alias("kind")), "key"), "substring-twice")
+            found.append(own.filter("kind = 0").select("id", "hash", F.col("start").alias("a"), (F.col("start") + F.col("count") + (self.length - 1)).alias("b")))
+            many = own.filter("kind = 2").select("key", "body").distinct().groupBy("key").count()
+            hot = checkpoint(many.filter(F.col("count") > (MEET if starts != 1 else 1 << 40)).select("key", F.lit(True).alias("hot")))
+            deeper = not hot.isEmpty()
+            if deeper:
+                own = own.join(hot, "key", "left").withColumn("kind", F.when(F.col("kind") == 0, 0).when(F.col("hot"), 2).otherwise(1))
+            else:
+                own = own.withColumn("kind", F.least("kind", F.lit(1)))
+            texts = written(self.with_text(own if asked is None else own.filter("kind > 0"), texts), "substring-texts")
+            asked = texts if asked is None else asked
+            covers = self.judged(self.bodies(texts.filter(F.size("mixed") > 0)))
+            part = own.filter("kind = 1").join(covers, ["key", "body"]).select("id", "hash", "start", F.explode("cover").alias("c"))
+            found.append(part.select("id", "hash", (F.col("start") + F.col("c.a")).alias("a"), (F.col("start") + F.col("c.b")).alias("b")))
+            if not deeper:
                 break
-            if starts:
-                # the first key of a finer piece no longer matters: single starts are keyed by their bytes
-                later = later.select("id", "hash", "start", "count", "key")
-            texts = written(self.with_text(later, texts), "substring-hot")
-        spans = found.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+            texts = texts.filter(F.size("later") > 0).select("id", "hash", "text", "later")
+        every = found[0]
+        for part in found[1:]:
+            every = every.unionByName(part)
+        spans = every.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
         return asked.select("id", "hash", "text"), spans
 
 
