@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BLANK = "▁"
-CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-#: Chunks kept with their ids: at most so many, of at most so many characters.
+#: Chunks kept with their ids: at most so many in each of two generations, of at most so many characters.
 KEPT, KEPT_CHARS = 200_000, 64
+#: Merge rounds before what is left (odd words of thousands of characters) goes by a queue.
+ROUNDS = 300
 FAR = np.iinfo(np.int64).max
 
 codecs.register_error("grovekit.bytewise", lambda e: ("�", e.start + 1))
@@ -66,12 +68,44 @@ class PieceModel:
         #: A merge whose result may at once merge on at the same or a better rank must go one at a time.
         self.alone = np.array([touched.get(m, FAR) <= r for r, m in zip(self.rank.tolist(), self.merged.tolist(), strict=True)])
         self.neighbours = np.array(sorted(ord(a) << 32 | ord(b) for a, b in neighbours), np.int64)
+        self._slots()
+        self.pairs: dict[int, tuple[int, int]] = {}
+        # a character of no piece of two or more ends a chunk
+        stop = "\n" if not any("\n" in p for p in self.ids if len(p) > 1) else ""
+        self.chunk = re.compile(f"{BLANK}*[^{BLANK}{stop}]+{stop}*|{BLANK}+{stop}*" + f"|{stop}+" * bool(stop))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.runs_known: dict[int, list[int]] = {}
 
     def _symbol(self, part: str) -> int | None:
         return self.ids.get(part, self.n + ord(part) if len(part) == 1 else None)
 
+    def _slots(self) -> None:
+        """A hash table of the pairs, so that a lookup touches one or two places."""
+        self.slots = np.full(1 << 19, -1, np.int32)
+        todo, probe = np.arange(len(self.keys)), 0
+        while len(todo):
+            at = self._slot(self.keys[todo], probe)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            todo, probe = todo[self.slots[at] != todo], probe + 1
+        self.probes = probe
+
+    def _slot(self, pairs: np.ndarray, probe: int) -> np.ndarray:
+        return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64) + probe) & (1 << 19) - 1
+
+    def _find(self, pairs: np.ndarray) -> np.ndarray:
+        """Place of each pair in the table, -1 if it has none."""
+        out = self.slots[self._slot(pairs, 0)].astype(np.int64)
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != pairs))
+        for probe in range(1, self.probes):
+            if not len(wrong):
+                break
+            out[wrong] = self.slots[self._slot(pairs[wrong], probe)]
+            wrong = wrong[(out[wrong] >= 0) & (self.keys[out[wrong]] != pairs[wrong])]
+        out[wrong] = -1
+        return out
+
     def _run(self, k: int) -> list[int]:
         """Ids of k blanks: all merges of blanks score alike, so the leftmost always comes first."""
         if k not in self.runs_known:
@@ -85,18 +119,45 @@ class PieceModel:
             self.runs_known[k] = [self.ids[BLANK * x] for x in stack]
         return self.runs_known[k]
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word after all merges.
+    def _queue(self, symbols: list[int], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges one segment to its end, pair by pair in order of rank and place."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+        after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] >= 0 and (found := self.pairs.get(symbols[i] << 32 | symbols[after[i]])):
+                heapq.heappush(queue, (found[0], i, symbols[i], symbols[after[i]]))
+
+        for i in range(len(symbols)):
+            offer(i)
+        while queue:
+            _, i, left, right = heapq.heappop(queue)
+            j = after[i]
+            if symbols[i] != left or j < 0 or symbols[j] != right:
+                continue
+            symbols[i], symbols[j] = self.pairs[left << 32 | right][1], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        keep = np.array(symbols) >= 0
+        return place[keep], np.array(symbols)[keep]
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words after all merges, and the bounds of each word's.
 
         Each round finds the best-ranked pair of each segment and merges its
         leftmost non-overlapping occurrences (only the leftmost, where the result
         could merge on at a better rank), then compacts; segments without a pair
         leave. Words are first cut into segments where no piece holds the two
-        characters side by side.
+        characters side by side. After ROUNDS rounds the rest goes by a queue.
         """
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         if not len(chars):
-            return [chars for _ in words]
+            return chars, np.zeros(len(words) + 1, np.int64)
         starts = np.zeros(len(chars), bool)
         lengths = np.array([len(w) for w in words])
         starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
@@ -106,11 +167,17 @@ class PieceModel:
         distinct, back = np.unique(chars, return_inverse=True)
         symbols = np.array([self._symbol(chr(c)) for c in distinct.tolist()], np.int64)[back]
         place, segment = np.arange(len(chars)), np.cumsum(starts) - 1
-        done = []
+        done, rounds = [], 0
         while len(symbols):
+            if rounds == ROUNDS:
+                heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+                for x, at in zip(np.split(symbols, heads[1:]), np.split(place, heads[1:]), strict=True):
+                    done.append(self._queue(x.tolist(), at))
+                break
+            rounds += 1
             pair = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            found = (self.keys[at] == pair) & (segment[:-1] == segment[1:])
+            at = self._find(pair)
+            found = (at >= 0) & (segment[:-1] == segment[1:])
             rank = np.append(np.where(found, self.rank[at], FAR), FAR)
             heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
             best = np.minimum.reduceat(rank, heads)
@@ -134,7 +201,7 @@ class PieceModel:
         places, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(places, kind="stable")
         places, symbols = places[order], symbols[order]
-        return np.split(symbols, np.searchsorted(places, np.cumsum(lengths)[:-1]))
+        return symbols, np.searchsorted(places, np.append(0, np.cumsum(lengths)))
 
     def _ids(self, symbols: np.ndarray) -> list[int]:
         out = []
@@ -146,34 +213,36 @@ class PieceModel:
         return out
 
     def _chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        bare = [c.lstrip(BLANK) for c in chunks]
-        blanks = [len(c) - len(b) for c, b in zip(chunks, bare, strict=True)]
-        words = [BLANK + b if k and b else b for k, b in zip(blanks, bare, strict=True)]
-        for chunk, k, word, symbols in zip(chunks, blanks, words, self.merge(words), strict=True):
-            if not word:
-                ids = self._run(k)
-            elif k < 2:
-                ids = self._ids(symbols)
-            elif symbols[0] == self.ids[BLANK]:  # no piece took the last blank, so it is one of the run
-                ids = self._run(k) + self._ids(symbols[1:])
-            else:
-                ids = self._run(k - 1) + self._ids(symbols)
+        words = [BLANK + c.lstrip(BLANK) if c.startswith(BLANK * 2) else c for c in chunks]
+        symbols, bounds = self.merge(words)
+        unknown = np.append(0, np.cumsum(symbols >= self.n))
+        odd = (unknown[bounds[1:]] > unknown[bounds[:-1]]).tolist()
+        raw, bounds = symbols.astype("<u4").tobytes(), bounds.tolist()
+        for chunk, word, x, a, b in zip(chunks, words, odd, bounds, bounds[1:], strict=False):
+            if not x and len(word) == len(chunk):
+                yield chunk, raw[4 * a : 4 * b]
+                continue
+            ids, k = self._ids(symbols[a:b]), 1 + len(chunk) - len(word)
+            if k > 1:  # if no piece took the last blank, it is one of the run
+                ids = self._run(k) + ids[1:] if ids[0] == self.ids[BLANK] else self._run(k - 1) + ids
             yield chunk, np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, begin and end included, as little-endian unsigned 32-bit integers."""
-        cut = [CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        cut = [self.chunk.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        here = self.known
-        if any(len(c) > KEPT_CHARS for c in new):
-            here = dict(self.known)
+            self.known, self.older = {}, self.known
+        here, long, new = self.known, {}, []
+        for c in {c for chunks in cut for c in chunks}.difference(here):
+            if c in self.older:
+                here[c] = self.older[c]
+            else:
+                new.append(c)
         for a in range(0, len(new), 20_000):
             for chunk, ids in self._chunks(new[a : a + 20_000]):
-                here[chunk] = ids
-                if len(chunk) <= KEPT_CHARS:
-                    self.known[chunk] = ids
+                (here if len(chunk) <= KEPT_CHARS else long)[chunk] = ids
+        if long:
+            here = here | long
         head, tail = (np.array([i], "<u4").tobytes() for i in (self.bos, self.eos))
         return [b"".join([head, *map(here.__getitem__, chunks), tail]) for chunks in cut]
 
