@@ -1,15 +1,322 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import names
+from .operators import authority, graph, history, merging, metrics, trees
+from .plans import sql
+from .sources import datasets as data
+from .sources.datasets import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
+
+
+@query
+def blob_dedup(spark, sf_dir):
+    return history.blob_dedup(data.blobs(spark, sf_dir))
+
+
+@query
+def first_introducer(spark, sf_dir):
+    return history.first_introducer(data.blobs(spark, sf_dir))
+
+
+def _entries(spark, sf_dir, *sides):
+    return [trees.entries(data.files(spark, sf_dir, s)) for s in sides]
+
+
+@query
+def intro_new_objects(spark, sf_dir):
+    return trees.new_objects(*_entries(spark, sf_dir, "base", "ours"))
+
+
+@query
+def tree_flatten(spark, sf_dir):
+    flat = trees.flatten(data.files(spark, sf_dir))
+    return flat.select("path", "id", "exec", *[F.coalesce(F.col("parts")[i], F.lit("")).alias(f"part{i}") for i in range(3)])
+
+
+@query
+def tree_merkle(spark, sf_dir):
+    return _entries(spark, sf_dir, "ours")[0].select("path", "kind", "id", "exec")
+
+
+@query
+def overlay_fold(spark, sf_dir):
+    return trees.overlay_fold(data.files(spark, sf_dir), data.files(spark, sf_dir, "overlay"))
+
+
+@query
+def overlay_shadowed(spark, sf_dir):
+    return trees.overlay_shadowed(data.files(spark, sf_dir), data.files(spark, sf_dir, "overlay"))
+
+
+@query
+def overlay_prefix_conflict(spark, sf_dir):
+    staged = data.files(spark, sf_dir, "overlay")
+    tried = data.files(spark, sf_dir).select("path").unionByName(staged.select(F.concat("path", F.lit("/y")).alias("path")))
+    return trees.prefix_conflicts(tried, staged)
+
+
+@query
+def ns_ls(spark, sf_dir):
+    return trees.listing(data.files(spark, sf_dir), data.files(spark, sf_dir, "overlay"))
+
+
+@query
+def ns_resolve(spark, sf_dir):
+    files, edits = data.files(spark, sf_dir), data.files(spark, sf_dir, "overlay")
+    asked = files.select("path").unionByName(edits.select("path")).unionByName(files.select(F.concat("path", F.lit("/in")).alias("path")))
+    return trees.resolve(asked, files, edits)
+
+
+@query
+def longest_mount(spark, sf_dir):
+    paths = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
+    return history.longest_mount(paths, spark.createDataFrame([(m,) for m in sql.MOUNTS], "mount string"))
+
+
+@query
+def diff_changed_paths(spark, sf_dir):
+    return merging.changed_paths(*_entries(spark, sf_dir, "base", "ours"))
+
+
+@query
+def diff_frontier(spark, sf_dir):
+    return merging.frontier(*_entries(spark, sf_dir, "base", "ours"))
+
+
+@query
+def exact_renames(spark, sf_dir):
+    base, ours = _entries(spark, sf_dir, "base", "ours")
+    return merging.exact_renames(base, merging.frontier(base, ours))
+
+
+@query
+def merge_three_way(spark, sf_dir):
+    return merging.three_way(*_entries(spark, sf_dir, "base", "ours", "theirs"))
+
+
+@query
+def merge_conflicts(spark, sf_dir):
+    return merging.conflicts(*_entries(spark, sf_dir, "base", "ours", "theirs"))
+
+
+@query
+def resolve_scope(spark, sf_dir):
+    base, ours, theirs = _entries(spark, sf_dir, "base", "ours", "theirs")
+    return merging.in_scope(merging.changed_paths(ours, theirs), merging.three_way(base, ours, theirs).filter("outcome = 'conflict'"))
+
+
+def _heads(spark, sf_dir):
+    p = data.pairs(spark, sf_dir)
+    return p.select(F.col("a").alias("key"), F.col("a").alias("node"))
+
+
+@query
+def commit_ancestry(spark, sf_dir):
+    return graph.closure(_heads(spark, sf_dir), data.commits(spark, sf_dir)[1]).select(F.col("key").alias("head"), "node")
+
+
+@query
+def merge_bases(spark, sf_dir):
+    return graph.merge_bases(data.pairs(spark, sf_dir), data.commits(spark, sf_dir)[1])
+
+
+@query
+def contribution_union(spark, sf_dir):
+    nodes, edges = data.commits(spark, sf_dir)
+    facts = nodes.select("node", F.concat("role", F.lit(":"), (F.col("node") % 7).cast("string")).alias("fact"))
+    return graph.contribution_union(data.pairs(spark, sf_dir), edges, facts)
+
+
+def _roots(spark, sf_dir):
+    nodes, edges = data.objects(spark, sf_dir)
+    return nodes, edges, nodes.filter(data.ROOTS).select("node")
+
+
+@query
+def graph_closure(spark, sf_dir):
+    nodes, edges, roots = _roots(spark, sf_dir)
+    return graph.reachable(roots, edges)
+
+
+@query
+def graph_type_audit(spark, sf_dir):
+    nodes, edges = data.objects(spark, sf_dir)
+    spoilt = nodes.filter("not (kind = 'order' and age = 13)").withColumn("kind", F.expr("case when kind = 'nation' and age % 11 = 5 then 'customer' else kind end"))
+    return graph.type_audit(edges, spoilt)
+
+
+def _state(spark, sf_dir):
+    nodes, edges, roots = _roots(spark, sf_dir)
+    return graph.gc_state(nodes, roots, edges, 24), edges
+
+
+@query
+def gc_plan(spark, sf_dir):
+    return graph.gc_report(_state(spark, sf_dir)[0])
+
+
+@query
+def gc_collectable(spark, sf_dir):
+    return graph.gc_sample(_state(spark, sf_dir)[0])
+
+
+@query
+def gc_doomed(spark, sf_dir):
+    return graph.gc_doomed(*_state(spark, sf_dir))
+
+
+@query
+def provenance_check(spark, sf_dir):
+    nodes, edges, roots = _roots(spark, sf_dir)
+    live = graph.reachable(roots, edges).join(nodes.select("node", "kind", "age"), "node")
+    known = live.select("node", F.when(F.col("kind") == "order", F.concat(F.lit("a"), (F.col("age") % 5).cast("string"))).alias("agent"))
+    listed = nodes.join(live.select("node"), "node", "left_semi").filter("age % 19 <> 3").unionByName(nodes.filter("kind = 'customer' and age = 7"), allowMissingColumns=True)
+    label = F.when(F.col("age") % 23 == 4, "odd").otherwise(F.concat(F.lit("a"), (F.col("age") % 5).cast("string")))
+    return graph.provenance_check(known, listed.select("node", label.alias("label")).distinct())
+
+
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(sql.PART_NAMES + " as name").distinct()
+
+
+@query
+def refs_list(spark, sf_dir):
+    cap = authority.parse(sql.TOKENS["t1"])
+    rows = _names(spark, sf_dir).withColumn("ok", authority.allows(cap, F.lit("read"), F.col("name"), F.lit(sql.NOW)))
+    hidden = rows.agg(F.count_if(~F.col("ok")).alias("suppressed"))  # one row
+    return rows.filter("ok").select("name").join(F.broadcast(hidden)).orderBy("name")
+
+
+@query
+def cap_allows(spark, sf_dir):
+    rows = None
+    for token, caveats in sql.TOKENS.items():
+        cap = authority.parse(caveats)
+        for op in ("read", "write", "merge"):
+            one = _names(spark, sf_dir).select(F.lit(token).alias("token"), F.lit(op).alias("op"), "name", authority.allows(cap, F.lit(op), F.col("name"), F.lit(sql.NOW)).alias("allowed"))
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query
+def ref_kind_audit(spark, sf_dir):
+    name = F.col("name")
+    return _names(spark, sf_dir).select("name", names.valid_ref(name).alias("valid"), names.ref_kind(name).alias("kind"), names.is_fork(name).alias("fork"), names.agent_name(name).alias("agent"))
+
+
+@query
+def inbox_list(spark, sf_dir):
+    refs = table(spark, sf_dir, "events").select(F.concat(F.lit("inbox/u"), F.col("user_id"), F.lit("/t"), F.col("event_id")).alias("name"))
+    return history.inbox(refs, "u7")
+
+
+@query
+def reflog_log(spark, sf_dir):
+    return history.log(data.reflog(spark, sf_dir)[0], "heads/agents/u7/main").select("name", "id", "new_oid", "reason")
+
+
+@query
+def reflog_chain_audit(spark, sf_dir):
+    return history.chain_audit(*data.reflog(spark, sf_dir))
+
+
+@query
+def retired_names(spark, sf_dir):
+    return history.retired(data.reflog(spark, sf_dir)[0])
+
+
+@query
+def cas_batch(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    oid = lambda x: F.sha2(F.concat(F.lit("h"), x), 256)
+    ref = F.concat_ws("/", F.lit("heads"), "event_type", (F.col("user_id") % 9).cast("string"))
+    tried = events.select(F.col("event_id").alias("seq"), ref.alias("ref"), F.concat(F.lit("u:"), F.col("user_id")).alias("agent"), "event_id").withColumn("expected", F.when(F.col("event_id") % 5 == 0, oid(F.lit("old"))).otherwise(oid(F.col("ref"))))
+    return history.cas_batch(tried, tried.select("ref", oid(F.col("ref")).alias("head")).distinct())
+
+
+def _reads(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    ns, path = F.concat(F.lit("c"), F.col("o_custkey")).alias("ns"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("path")
+    mount = F.concat(F.lit("/m"), (F.col("o_orderkey") % 3).cast("string")).alias("mount")
+    return o, ns, mount, path
+
+
+@query
+def stale_observations(spark, sf_dir):
+    o, ns, mount, path = _reads(spark, sf_dir)
+    key, status = F.col("o_orderkey"), F.sha2("o_orderstatus", 256)
+    seen = o.select(ns, mount, path, F.when(key % 17 == 0, "absent").otherwise("blob").alias("kind"), F.when(key % 17 != 0, status).alias("oid"))
+    now = o.filter(key % 29 != 0).select(path, F.when(key % 31 == 0, F.sha2(F.lit("changed"), 256)).otherwise(status).alias("oid"))
+    mounts = o.filter("o_custkey % 41 <> 0").select(ns, mount).distinct()
+    return history.stale_observations(seen, now, o.filter(key % 37 == 0).select(ns, mount, path), mounts)
+
+
+def _staged(spark, sf_dir):
+    o, ns, mount, path = _reads(spark, sf_dir)
+    return o.select(ns, mount, path, F.sha2(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).otherwise(F.lit("new")), 256).alias("id"))
+
+
+@query
+def stranded_mounts(spark, sf_dir):
+    o, _, _, path = _reads(spark, sf_dir)
+    return history.stranded_mounts(_staged(spark, sf_dir), o.select(path, F.sha2("o_orderstatus", 256).alias("id")), "/m0")
+
+
+@query
+def catalog_orphans(spark, sf_dir):
+    o, ns, mount, path = _reads(spark, sf_dir)
+    namespaces = table(spark, sf_dir, "customer").filter("c_custkey % 19 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("ns"))
+    mounts = o.filter("o_orderkey % 23 <> 0").select(ns, mount).distinct()
+    suppliers = table(spark, sf_dir, "supplier")
+    tag = F.concat(F.lit("v"), F.col("s_suppkey"))
+    refs = suppliers.filter("s_suppkey % 4 <> 1").select(F.concat(F.lit("tags/"), tag).alias("name"))
+    reads = o.filter("o_orderkey % 7 = 0").select(ns, mount, path)
+    return history.orphans(namespaces=namespaces, mounts=mounts, overlay=o.filter("o_orderkey % 6 = 1").select(ns, mount, path), observations=reads, seals=suppliers.select(tag.alias("tag")), refs=refs)
+
+
+@query
+def export_collisions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return trees.collisions(docs.selectExpr("source as dir", sql.SIBLINGS + " as name"))
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    return metrics.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def latency_medians(spark, sf_dir):
+    return metrics.medians(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def event_shares(spark, sf_dir):
+    return metrics.shares(table(spark, sf_dir, "events"), "event_type")
+
+
+@query
+def w6_tree(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(10_000).select(F.format_string("/d%04d/f%04d.txt", F.floor(i / 1000), i % 1000).alias("path"), i.alias("n"))
