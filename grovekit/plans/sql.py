@@ -149,9 +149,9 @@ case when name = 'main' or starts_with(name, 'heads/') then 'commit' when starts
 starts_with(name, 'forks/') or regexp_matches(name, '^heads/agents/[^/]+/forks/.+') as fork, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') as agent from names""",
     "inbox_list": "select concat('inbox/u', user_id, '/t', event_id) as name from events where user_id = 7",
     "reflog_log": f"with {reflog_sql()} select name, id, new_oid, reason from reflog where name = 'heads/agents/u7/main' order by id desc limit 32",
-    "reflog_chain_audit": f"""with {reflog_sql()}, w as (select *, lag(new_oid) over (partition by name order by id) as before, row_number() over (partition by name order by id) as at from reflog),
+    "reflog_chain_audit": f"""with {reflog_sql()}, w as (select *, lag(new_oid) over (partition by name order by id) as before, row_number() over (partition by name order by id) as pos from reflog),
 last as (select name, max(id) as id, arg_max(new_oid, id) as new_oid, arg_max(reason, id) as reason from reflog group by name)
-select 'REFLOG_CHAIN' as code, name, id from w where case when at = 1 then old_oid is not null and reason <> 'fork' else old_oid is distinct from before end
+select 'REFLOG_CHAIN' as code, name, id from w where case when pos = 1 then old_oid is not null and reason <> 'fork' else old_oid is distinct from before end
 union all select 'REFLOG_MISSING', name, null from refs where name not in (select name from reflog)
 union all select 'REFLOG_ORPHAN', name, id from last where reason <> 'abandon' and name not in (select name from refs)
 union all select 'REFLOG_TERMINAL', name, id from last join refs using (name) where oid <> new_oid and reason <> 'abandon'""",
@@ -171,8 +171,8 @@ union all select distinct 'OBSERVATION_NAMESPACE', concat(ns, ':', mount, ':', p
 union all select distinct 'OBSERVATION_MOUNT', concat(ns, ':', mount, ':', path) from ob where (ns, mount) not in (select ns, mount from mounts)
 union all select distinct 'SEAL_TAG_REF', concat('tags/v', s_suppkey) from supplier where s_suppkey % 4 = 1""",
     "export_collisions": f"with n as (select distinct source as dir, {SIBLINGS} as name from documents) select dir, nfc_normalize(lower(name)) as fold_key, count(*) as n, string_agg(name, ',' order by name) as names from n group by 1, 2 having count(*) > 1",
-    "latency_percentiles": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as at, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(n) as n, " + ", ".join(f"max(value) filter (at = {ROUND.format(p=p)}) as p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + ", max(value) as max from r group by event_type",
-    "latency_medians": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as at, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(value) filter (at = n // 2 + 1) as upper_median, max(value) filter (at = (n - 1) // 2 + 1) as median_low from r group by event_type",
+    "latency_percentiles": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as pos, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(n) as n, " + ", ".join(f"max(value) filter (pos = {ROUND.format(p=p)}) as p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + ", max(value) as max from r group by event_type",
+    "latency_medians": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as pos, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(value) filter (pos = n // 2 + 1) as upper_median, max(value) filter (pos = (n - 1) // 2 + 1) as median_low from r group by event_type",
     "event_shares": "with r as (select event_type, count(*) as n, (select count(*) from events) as whole from events group by event_type) select event_type, n, concat(((n * 1000 + whole // 2) // whole) // 10, '.', ((n * 1000 + whole // 2) // whole) % 10) as share from r",
     "w6_tree": "select format('/d{:04d}/f{:04d}.txt', range // 1000, range % 1000) as path, range as n from range(10000)",
 }
