@@ -16,7 +16,7 @@ from .common import small_batches
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
 #: The classifiers are fitted on samples of at most so many texts known as toxic, and unlabelled ones.
-POSITIVES, UNLABELLED = 5_000, 15_000
+POSITIVES, UNLABELLED = 4_000, 10_000
 #: Features are kept whose share among toxic texts is so many standard deviations above that among unlabelled ones.
 LEAST_SIGMA = 8
 #: How far, as a share of it, the share called toxic may be from the prior.
@@ -75,7 +75,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features more frequent among the toxic texts than among unlabelled ones by over LEAST_SIGMA."""
-    p, u = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (positive, unlabelled))
+    p, u = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for counts, rows in ((p, positive), (u, unlabelled)):
+        for row in rows:
+            counts[row] += 1
     due = u * (len(positive) / len(unlabelled))
     return p - due > LEAST_SIGMA * np.sqrt(due * (1 + len(positive) / len(unlabelled)) + 1)
 
@@ -90,8 +93,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """
     if not positive or not unlabelled:
         return np.zeros(BUCKETS), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    kept = telling(positive, unlabelled)
-    p, u = Rows([r[kept[r]] for r in positive]), Rows([r[kept[r]] for r in unlabelled])
+    p, u = Rows(positive), Rows(unlabelled)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(BUCKETS + 1), 0.0
     w[-1] = np.log(prior / (1 - prior))
@@ -150,10 +152,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["f"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["f"])
 
     def drawn(df: DataFrame, most: int) -> list[np.ndarray]:
-        return [np.array(r.f, np.int64) for r in df.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "f array<int>").limit(2 * most).collect()]
+        return [np.frombuffer(r.f, np.int32) for r in df.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "f binary").limit(2 * most).toLocalIterator()]
 
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     n, ones = known.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
@@ -164,6 +166,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.count()
     free = docs.filter(~held_out(F.col(f"`{id_col}`")) & _sampled(F.col(f"`{id_col}`"), min(1.0, UNLABELLED / max(1, rows)), 2))
     unlabelled = drawn(free, UNLABELLED)
+    if positive and unlabelled:
+        kept = telling(positive, unlabelled)
+        positive, unlabelled = ([r[kept[r]] for r in rows] for rows in (positive, unlabelled))
     fits = [fit(positive, unlabelled, prior, seed) for seed in range(MEMBERS)]
     weights, bias = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
     return weights, bias + boundary(np.array([weights[f].sum() for f in unlabelled]) + bias, prior)
