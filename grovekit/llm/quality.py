@@ -149,3 +149,10 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
         (~failed & (F.coalesce("_q_char", F.lit(0.0)) <= CHAR_LIMIT) & (F.coalesce("_q_word", F.lit(0.0)) <= WORD_LIMIT)).alias("kept"),
     )
     return df.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"], verdict.alias("quality"))
+
+
+def quality_filter(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that quality_rules() keeps, columns unchanged."""
+    # a row number in the condition holds the optimizer from moving it below the verdict, which would judge each row many times
+    judged = quality_rules(docs, **options).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.filter((F.col("_q_row") >= 0) & F.col("quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
