@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, written
 
 #: Classes of characters, taken out one after another; what is left is the last class, "other".
 CLASSES = {
@@ -18,7 +18,7 @@ CLASSES = {
 }
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Jensen-Shannon distances (square roots, base 2) beyond which a text is dropped.
-CHAR_LIMIT, WORD_LIMIT = 0.26, 0.35
+CHAR_LIMIT, WORD_LIMIT = 0.27, 0.38
 #: Shorter texts aren't held against a histogram.
 CHAR_GUARD, WORD_GUARD = 200, 50
 #: Words of a reference: at most so long, at least this share of their language's words, the most frequent ones.
@@ -47,16 +47,16 @@ def _class_counts(df: DataFrame, text: str, to: str) -> DataFrame:
     return df.drop(*(f"_q_{name}" for name in CLASSES))
 
 
-def _short_words(text: Column) -> Column:
-    """Lower-case runs of at most SHORT letters, each within two blanks of its own."""
-    runs = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " ")
-    return F.concat(F.lit(" "), F.array_join(F.filter(runs, lambda w: (w != "") & (F.length(w) <= SHORT)), "  "), F.lit(" "))
+def _short_words(words: Column) -> Column:
+    """The words of at most SHORT characters before final punctuation, in lower case."""
+    few = F.filter(words, lambda w: F.length(w) <= SHORT + 1)
+    bare = F.transform(few, lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
+    return F.filter(bare, lambda w: F.length(w).between(1, SHORT))
 
 
 def _shape(docs: DataFrame, text_col: str) -> DataFrame:
     df = docs.withColumn("_q_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = _class_counts(df, "_q_text", "_q_classes")
-    return df.withColumn("_q_short", _short_words(F.col("_q_text")))
+    return _class_counts(df, "_q_text", "_q_classes")
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -67,10 +67,18 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     the shuffle and cut by SHARE (at most 500 words a language) before ranking.
     """
     df = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_q_t"))
-    df = _shape(df, "_q_t").select("lang", "_q_classes", "_q_short", F.size(F.split(F.trim(F.regexp_replace("_q_text", SPACE + "+", " ")), " ")).alias("n"))
+    df = _shape(df, "_q_t").withColumn("_q_words", _words(F.col("_q_text")))
+    one = lambda w: F.struct(w.alias("w"), F.lit(1).cast("long").alias("c"))
+    # counts of classes and of all words go along under names that no word has
     size = len(CLASSES) + 1
-    sums = df.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.col("_q_classes")[i]).alias(f"c{i}") for i in range(size)]).collect()  # a row a language
-    words = df.select("lang", F.explode(F.split(F.trim("_q_short"), " +")).alias("w")).filter("w <> ''").groupBy("lang", "w").count()
+    told = F.array(*[F.struct(F.lit(f" {i}").alias("w"), F.col("_q_classes")[i].alias("c")) for i in range(size)], F.struct(F.lit(" n").alias("w"), F.size("_q_words").cast("long").alias("c")))
+    pairs = df.select("lang", F.explode(F.concat(told, F.transform(_short_words(F.col("_q_words")), one))).alias("x"))
+    counted = written(pairs.groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.c").alias("count")), "quality-words")
+    by_lang: dict = {}
+    for r in counted.filter(F.col("w").startswith(" ")).collect():  # a few rows a language
+        by_lang.setdefault(r.lang, {})[r.w[1:]] = r["count"]
+    sums = [Row(lang=lang, n=x.get("n", 0), **{f"c{i}": x.get(str(i), 0) for i in range(size)}) for lang, x in by_lang.items()]
+    words = counted.filter(~F.col("w").startswith(" "))
     everything = sum(r.n for r in sums) or 1
     large = [r for r in sums if r.lang is not None and r.n >= LANG_SHARE * everything]
     spark = docs.sparkSession
@@ -98,19 +106,34 @@ def _distance(p: Column, q: Column) -> Column:
 
 
 def _with_rest(shares: Column) -> Column:
-    return F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda s, x: s + x))))
+    return let(shares, lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x)))))
 
 
 def _repeated(words: Column) -> Column:
-    """Words within 3-word windows that occur twice or more."""
+    """Words within 3-word windows that occur twice or more.
+
+    Windows are sorted as numbers: the low bits of their hash, then their place;
+    neighbours of one hash count only if their words are equal.
+    """
 
     def marked(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
-        same = lambda s, x, j: (s[j].h == x.h) & (w[s[j].i] == w[x.i]) & (w[s[j].i + 1] == w[x.i + 1]) & (w[s[j].i + 2] == w[x.i + 2])
-        again = lambda s: F.filter(s, lambda x, j: ((j > 0) & same(s, x, F.greatest(j - 1, F.lit(0)))) | ((j < F.size(s) - 1) & same(s, x, F.least(j + 1, F.size(s) - 1))))
-        covered = lambda s: F.size(F.array_distinct(F.flatten(F.transform(again(s), lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
-        pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(pairs(h), covered)))
+        n = F.size(w)
+        bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
+        power = F.pow(F.lit(2.0), bits).cast("long")
+        room = F.pow(F.lit(2.0), 62 - bits).cast("long")
+        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+
+        def covered(both: Column) -> Column:
+            p, s = both.p, both.s
+            place = lambda x: F.pmod(x, p).cast("int")
+            head = lambda x: x - F.pmod(x, p)
+            same = lambda x, y: (head(x) == head(y)) & (w[place(x)] == w[place(y)]) & (w[place(x) + 1] == w[place(y) + 1]) & (w[place(x) + 2] == w[place(y) + 2])
+            again = F.filter(s, lambda x, j: ((j > 0) & same(x, s[F.greatest(j - 1, F.lit(0))])) | ((j < F.size(s) - 1) & same(x, s[F.least(j + 1, F.size(s) - 1)])))
+            return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(place(x), place(x) + 1, place(x) + 2)))))
+
+        # the highest bits give way to the place: the product stays within a long
+        tagged = lambda h: F.sort_array(F.transform(h, lambda x, i: F.pmod(x, room) * power + i))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.struct(power.alias("p"), tagged(h).alias("s")), covered)))
 
     return F.when(F.size(words) < 3, 0).otherwise(let(words, marked))
 
@@ -133,12 +156,13 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
     df = _shape(docs, text_col).join(own, F.col(lang_col).cast("string") == F.col("_q_lang"), "left").join(pooled)
     df = df.withColumn("_q_ref", F.coalesce("_q_own", "_q_pool"))
     text, classes = F.col("_q_text"), F.col("_q_classes")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE + "+", "")) > 0)
-    df = df.withColumn("_q_base", let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r"))))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn("_q_base", let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r"), _short_words(w).alias("short"))))
     df = df.withColumn("_q_dup", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
     n, r = F.col("_q_base.n").cast("long"), F.col("_q_base.r").cast("long")
     total = F.aggregate(classes, F.lit(0).cast("long"), lambda s, x: s + x)
-    seen = F.transform(F.col("_q_ref.words"), lambda w: (F.length("_q_short") - F.length(F.replace(F.col("_q_short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2))
+    places = F.transform(F.col("_q_base.short"), lambda w: F.array_position(F.col("_q_ref.words"), w))
+    seen = let(places, lambda x: F.transform(F.col("_q_ref.words"), lambda w, i: F.size(x) - F.size(F.array_remove(x, (i + 1).cast("long")))))
     df = df.withColumn("_q_char", F.when(total >= CHAR_GUARD, _distance(F.transform(classes, lambda c: c / total), F.col("_q_ref.classes"))))
     df = df.withColumn("_q_word", F.when(n >= WORD_GUARD, _distance(_with_rest(F.transform(seen, lambda c: c / n)), _with_rest(F.col("_q_ref.shares")))))
     names = list(CLASSES)
