@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 #: From the path, id and exec of the base to those of each side; rows without a path are gone.
 SIDES = {
     "ours": {
-        "path": "case when d = 'es/src3' or d = 'fr/src5' then null when d = 'de/src6' then concat('moved/dir6/d', doc_id) when doc_id % 20 = 0 then null when doc_id % 20 = 3 then concat('moved/o/d', doc_id) else path end",
+        "path": "case when d = 'es/src3' or d = 'fr/src5' then null when d = 'de/src6' then concat('de/src6o/d', doc_id) when doc_id % 20 = 0 then null when doc_id % 20 = 3 then concat(d, '/o', doc_id) else path end",
         "id": "case when d <> 'de/src6' and doc_id % 20 = 1 then {sha}(concat('o', doc_id){bits}) else id end",
         "exec": "case when d <> 'de/src6' and doc_id % 20 = 2 then not exec else exec end",
         "more": [("concat('new/o/d', doc_id)", "{sha}(concat('n', doc_id){bits})", "doc_id % 20 = 4"), ("concat('new/s/d', doc_id)", "{sha}(concat('os', doc_id){bits})", "doc_id % 50 = 7"), ("'fr/src5'", "{sha}('fr/src5'{bits})", "doc_id = 0")],
     },
     "theirs": {
-        "path": "case when d = 'de/src4' then null when d = 'de/src6' then concat('other/dir6/d', doc_id) when doc_id % 21 = 0 then null when doc_id % 21 = 3 then concat('moved/t/d', doc_id) else path end",
+        "path": "case when d = 'de/src4' then null when d = 'de/src6' then concat('de/src6t/d', doc_id) when doc_id % 21 = 0 then null when doc_id % 21 = 3 then concat(d, '/t', doc_id) else path end",
         "id": "case when d <> 'de/src6' and doc_id % 21 = 1 then {sha}(concat('t', doc_id){bits}) else id end",
         "exec": "case when d <> 'de/src6' and doc_id % 21 = 2 then not exec else exec end",
         "more": [("concat('new/t/d', doc_id)", "{sha}(concat('m', doc_id){bits})", "doc_id % 21 = 4"), ("concat('new/s/d', doc_id)", "{sha}(concat('ts', doc_id){bits})", "doc_id % 50 = 7")],
