@@ -17,10 +17,10 @@ WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
 #: The classifiers are fitted on samples of at most so many texts known as toxic, and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 10_000
-#: Features are kept whose share among toxic texts is so many standard deviations above that among unlabelled ones.
-LEAST_SIGMA = 8
 #: How far, as a share of it, the share called toxic may be from the prior.
 NEAR = 0.15
+#: Scores nearer than this are equal.
+EQUAL = 1e-9
 MEMBERS, EPOCHS, BATCHES, RATE, DECAY = 3, 25, 12, 0.05, 1e-3
 
 
@@ -73,29 +73,40 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features more frequent among the toxic texts than among unlabelled ones by over LEAST_SIGMA."""
+def scales(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Value of each feature where it occurs, from 0 to 1: the square of how far, in standard deviations, its share among toxic texts is above that among unlabelled ones, over the largest.
+
+    Only features that are no more frequent in toxic texts get zero, whatever
+    the size of the samples; weak ones take part with small values.
+    """
     p, u = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for counts, rows in ((p, positive), (u, unlabelled)):
         for row in rows:
             counts[row] += 1
-    due = u * (len(positive) / len(unlabelled))
-    return p - due > LEAST_SIGMA * np.sqrt(due * (1 + len(positive) / len(unlabelled)) + 1)
+    ratio = len(positive) / len(unlabelled)
+    due = u * ratio
+    above = np.maximum(p - due, 0) / np.sqrt(due * (1 + ratio) + 1)
+    return (above / (above.max() or 1.0)) ** 2
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights by bucket and bias of one classifier.
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, scale: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights by bucket and bias of one classifier over features of value `scale`.
 
     Logistic loss; the risk is prior * P(toxic texts called clean) plus the
     negative part, unlabelled texts called toxic less prior * toxic texts called
     toxic. Where the negative part of a batch falls below zero, which no true risk
     can, the step goes the other way along its gradient alone.
     """
+    out = np.zeros(BUCKETS)
     if not positive or not unlabelled:
-        return np.zeros(BUCKETS), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    p, u = Rows(positive), Rows(unlabelled)
+        return out, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    used = np.flatnonzero(scale)
+    place = np.zeros(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
+    p, u = (Rows([place[r[scale[r] > 0]] for r in rows]) for rows in (positive, unlabelled))
+    value, width = scale[used], len(used)
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(BUCKETS + 1), 0.0
+    w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second, step = np.zeros_like(w), np.zeros_like(w), 0
     for _ in range(EPOCHS):
@@ -104,7 +115,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             if not len(pi) or not len(ui):
                 continue
             pb, ub = p.pick(pi), u.pick(ui)
-            pz, uz = pb.sums(w[:-1]) + w[-1], ub.sums(w[:-1]) + w[-1]
+            each = w[:-1] * value
+            pz, uz = pb.sums(each) + w[-1], ub.sums(each) + w[-1]
             ps, us = sigmoid(pz), sigmoid(uz)
             negative = np.logaddexp(0, uz).mean() - prior * np.logaddexp(0, pz).mean()
             gp, gu = -prior * ps / len(pi), us / len(ui)  # of the negative part
@@ -112,24 +124,40 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
                 gp = gp - prior * (1 - ps) / len(pi)
             else:
                 gp, gu = -gp, -gu
-            grad = np.append(pb.back(gp, BUCKETS) + ub.back(gu, BUCKETS) + DECAY * w[:-1], gp.sum() + gu.sum())
+            grad = np.append((pb.back(gp, width) + ub.back(gu, width)) * value + DECAY * w[:-1], gp.sum() + gu.sum())
             step += 1
             first += 0.1 * (grad - first)
             second += 0.001 * (grad * grad - second)
             w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            w[:-1] = np.maximum(w[:-1], 0)  # every feature kept speaks for toxicity
-    b = float(w[-1])
-    return w[:-1], b
+            w[:-1] = np.maximum(w[:-1], 0)  # every feature of a value speaks for toxicity
+    out[used] = w[:-1] * value
+    return out, float(w[-1])
+
+
+def share(z: np.ndarray, known: np.ndarray, prior: float) -> float:
+    """The prior, or less if the scores show it: of all cuts that half or more of the known toxic texts lie above, the least share of unlabelled texts above for each share of the known."""
+    if not len(z) or not len(known):
+        return prior
+    z, cuts = np.sort(z), np.sort(known)[: len(known) // 2 + 1]
+    above = (len(z) - np.searchsorted(z, cuts - EQUAL)) / len(z)
+    return min(prior, max(1 / len(z), float((above / (1 - np.arange(len(cuts)) / len(known))).min())))
 
 
 def boundary(z: np.ndarray, prior: float) -> float:
-    """Shift that puts zero into the widest gap of the unlabelled scores near their upper `prior` share (within NEAR of it)."""
+    """Shift that puts zero into the widest gap of the unlabelled scores near their upper `prior` share (within NEAR of it).
+
+    Equal scores stay on one side: where the window holds nothing else, the
+    nearest gap outside it is taken, and no shift if all scores are equal.
+    """
     z, n = np.sort(z), len(z)
     low, high = int(n * (1 - prior * (1 + NEAR))), int(np.ceil(n * (1 - prior * (1 - NEAR))))
     low, high = max(0, low), min(n - 1, high)
-    if high <= low:
+    gaps = np.diff(z)
+    real = np.flatnonzero(gaps > EQUAL)
+    if not len(real):
         return 0.0
-    at = low + int(np.argmax(np.diff(z[low : high + 1])))
+    near = real[(real >= low) & (real < high)]
+    at = int(near[np.argmax(gaps[near])]) if len(near) else int(real[np.argmin(np.abs(real + 0.5 - (low + high) / 2))])
     return -float(z[at] + z[at + 1]) / 2
 
 
@@ -146,7 +174,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     At most about POSITIVES texts labelled 1, and about UNLABELLED of all texts,
     are drawn by a hash of their id; only their hashed features come to the driver.
-    The class prior is the share of 1 among those labels.
+    The class prior is the share of 1 among those labels; the cut allows for its
+    being above the share in the corpus.
     """
     small_batches(docs.sparkSession)
 
@@ -166,12 +195,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.count()
     free = docs.filter(~held_out(F.col(f"`{id_col}`")) & _sampled(F.col(f"`{id_col}`"), min(1.0, UNLABELLED / max(1, rows)), 2))
     unlabelled = drawn(free, UNLABELLED)
-    if positive and unlabelled:
-        kept = telling(positive, unlabelled)
-        positive, unlabelled = ([r[kept[r]] for r in rows] for rows in (positive, unlabelled))
-    fits = [fit(positive, unlabelled, prior, seed) for seed in range(MEMBERS)]
+    scale = scales(positive, unlabelled) if positive and unlabelled else np.zeros(BUCKETS)
+    fits = [fit(positive, unlabelled, prior, scale, seed) for seed in range(MEMBERS)]
     weights, bias = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
-    return weights, bias + boundary(np.array([weights[f].sum() for f in unlabelled]) + bias, prior)
+    free_scores, known_scores = (np.array([weights[f].sum() for f in rows]) + bias for rows in (unlabelled, positive))
+    return weights, bias + boundary(free_scores, share(free_scores, known_scores, prior))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -122,6 +122,28 @@ def test_toxicity(spark):
     assert sum(r.predicted == toxic[r.doc_id] for r in held) > 0.95 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_of_few_labels(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    toxic = [i % 60 == 1 for i in range(600)]
+    texts = [" ".join([word() for _ in range(20)] + ["vilewordz"] * t) for t in toxic]
+    ones = [i for i, t in enumerate(toxic) if t and zlib.crc32(str(i).encode()) % 5][:7]
+    zeros = [i for i, t in enumerate(toxic) if not t and zlib.crc32(str(i).encode()) % 5]
+    for others in (zeros[:400], zeros[:14]):  # a prior near the share in the corpus, and one far above
+        labels = spark.createDataFrame([(i, 1) for i in ones] + [(i, 0) for i in others], "doc_id long, toxic int")
+        rows = toxicity.toxicity_scores(table(spark, texts), labels).collect()
+        assert sum(r.predicted for r in rows if toxic[r.doc_id]) >= 0.9 * sum(toxic)
+        assert sum(r.predicted for r in rows if not toxic[r.doc_id]) <= 0.02 * len(toxic)
+
+
+def test_toxicity_cut_leaves_equal_scores_together():
+    for z in ([-2.0] * 90 + [1.0] * 10, [-2.0] * 10 + [1.0] * 90):
+        for prior in (0.01, 0.1, 0.5, 0.9):
+            cut = -toxicity.boundary(np.array(z), prior)
+            assert -2 < cut < 1
+    assert toxicity.boundary(np.full(50, -1.5), 0.3) == 0.0
+
+
 def test_pieces():
     import sentencepiece
 
