@@ -91,8 +91,8 @@ edges as (select src, dst from alledges where dst in (select node from turns))""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair, a, b): heads of neighbouring conversations among the first forty."""
-    last = table(spark, sf_dir, "conversations").filter("conv_id <= 40").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    """(pair, a, b): heads of neighbouring conversations."""
+    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
     head = (F.col("conv_id") * 100 + F.col("turn")).alias("b")
     right = last.select((F.col("conv_id") - 1).alias("conv_id"), head)
     return last.withColumn("a", F.col("conv_id") * 100 + F.col("turn")).join(right, "conv_id").select(F.col("conv_id").alias("pair"), "a", "b")

@@ -120,3 +120,43 @@ def test_names_and_paths(spark):
     assert [(r.ok, r.kind) for r in got] == [(True, "snapshot"), (True, "snapshot"), (False, "commit")]
     p = spark.createDataFrame([("",), ("a/b/",), ("/a//b",)], "p string").select(paths.normalize_abs(F.col("p")).alias("x"))
     assert [r.x for r in p.collect()] == ["/", "/a/b", None]
+
+
+def test_heads_of_all_conversations(spark, tmp_path):
+    from grovekit import catalogue
+
+    turns = {c: 1 + c * 7 % 4 for c in range(60) if c != 50}
+    rows = [(c, t, "user" if t % 2 else "bot") for c, n in turns.items() for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    nodes = {c * 100 + t: role for c, t, role in rows}
+    parents = {n: [] for n in nodes}
+    for c, n in turns.items():
+        for t in range(1, n):
+            parents[c * 100 + t].append(c * 100 + t - 1)
+        if c:
+            parents[c * 100].append(c // 2 * 100)
+        if c and n > 1:
+            parents[c * 100 + n - 1].append(c // 3 * 100)
+
+    def above(node):
+        seen, todo = set(), [node]
+        while todo:
+            x = todo.pop()
+            if x in nodes and x not in seen:
+                seen.add(x)
+                todo += parents[x]
+        return seen
+
+    head = {c: c * 100 + n - 1 for c, n in turns.items()}
+    pairs = [(c, head[c], head[c + 1]) for c in turns if c + 1 in turns]
+    bases = set()
+    for c, a, b in pairs:
+        common = above(a) & above(b)
+        bases |= {(c, x) for x in common if not any(x in above(y) - {y} for y in common)}
+    want = {
+        "commit_ancestry": {(a, x) for _, a, _ in pairs for x in above(a)},
+        "merge_bases": bases,
+        "contribution_union": {(c, f"{nodes[x]}:{x % 7}") for c, a, b in pairs for x in above(a) | above(b)},
+    }
+    for name, rows in want.items():
+        assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect())) == sorted(rows)
