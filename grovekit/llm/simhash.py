@@ -181,6 +181,13 @@ def block_links(fps: DataFrame, apart: int = 3, blocks: int = 6) -> DataFrame:
     return edges
 
 
+def _rooted(each: DataFrame, apart: int) -> DataFrame:
+    """(fp, least, root): the distinct fingerprints of `each` (doc_id, fp), their smallest id, and the first fingerprint of their component."""
+    prints = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(block_links(prints.select("fp"), apart)).select(F.col("node").alias("fp"), "root")
+    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_dedup(docs: DataFrame, width: int = 3, apart: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
@@ -192,10 +199,29 @@ def simhash_dedup(docs: DataFrame, width: int = 3, apart: int = 3, id_col: str =
     are ignored.
     """
     each = written(fingerprints(docs, width, id_col, text_col), "simhash-prints")
-    prints = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(block_links(prints.select("fp"), apart)).select(F.col("node").alias("fp"), "root")
-    named = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(each, apart)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     out = each.join(named, "fp")
     return out.select(F.col("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def simhash_firsts(docs: DataFrame, width: int = 3, apart: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` for each component of simhash_dedup(), columns unchanged.
+
+    It is the row with the smallest id, null ids last; of rows of one id the one
+    with the smallest hash of its text, then of all its columns. Ids are never
+    taken for rows: those without one, or with one that others have too, stay if
+    their component has no row before them.
+    """
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    place = F.struct(id_.isNull().alias("n"), id_.alias("i"), F.sha2(text, 256).alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    keyed = docs.withColumn("_s_place", place)
+    each = written(fingerprints(keyed, width, "_s_place", text_col), "simhash-prints")
+    firsts = _rooted(each, apart).groupBy("root").agg(F.min("least").alias("f")).select(*[F.col(f"f.{c}").alias(f"_s_{c}") for c in "nith"])
+    same = F.lit(True)
+    for c in "nith":
+        same &= F.col(f"_s_place.{c}").eqNullSafe(F.col(f"_s_{c}"))
+    # rows that are equal in all columns share a place; of those, one
+    kept = keyed.join(firsts, same, "left_semi").dropDuplicates(["_s_place"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -230,3 +230,15 @@ def test_pipeline(spark, tmp_path):
     want = sorted((r.doc_id, hashlib.sha256(x).hexdigest()) for r, x in zip(mixed, model.encode([r.text for r in mixed]), strict=True))
     got = sorted((r.doc_id, hashlib.sha256(bytes(r.token_ids)).hexdigest()) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and {i for i, _ in got} <= set(range(40))
+
+
+def test_near_duplicates_without_usable_ids(spark):
+    rnd = random.Random(12)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (3, f), (3, f), (4, f), (5, None), (None, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", "y", "z", "w") for i, t in rows], DOC)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    want = [(None, a), (None, b), (1, c), (2, d), (2, e), (3, f), (5, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
