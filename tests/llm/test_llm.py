@@ -171,6 +171,16 @@ def test_pages(spark):
     assert (rows[7].text, rows[8].text, rows[9].text) == ("", "", "lone text")
 
 
+def test_pages_lose_repeated_text(spark):
+    page = "<body><article><h1>Head of {0}</h1><div class='x'>Tell your friends</div><p>Text number {0}</p>{1}<p>All rights are ours</p></article></body>"
+    web = [(i, f"http://h.example/{i}", page.format(i, "<p>We use your data</p>" if i % 3 else "")) for i in range(9)]
+    web += [(i, "http://copies.example/", page.format(0, "")) for i in range(20, 24)] + [(30, "http://two.example/", page.format(0, "")), (31, "http://two.example/", page.format(1, ""))]
+    rows = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(web, "page_id long, url string, html string")).collect()}
+    assert all(rows[i] == f"Head of {i}\nText number {i}" for i in range(9))
+    assert rows[20] == "Head of 0\nTell your friends\nText number 0\nAll rights are ours"
+    assert rows[31] == "Head of 1\nTell your friends\nText number 1\nAll rights are ours"
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 8)).astype(np.float32)
