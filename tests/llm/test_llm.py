@@ -181,6 +181,21 @@ def test_pages_lose_repeated_text(spark):
     assert rows[31] == "Head of 1\nTell your friends\nText number 1\nAll rights are ours"
 
 
+def test_pages_keep_sections_and_titles(spark):
+    body = " ".join(["Words of page {0} here."] * 20)
+    inner = f"<section id='related-work'>Others of {{0}}</section><h2 id='social-impact' class='share'>Impact of {{0}}</h2><div data-id='search-3'>Found in {{0}}</div><div class='share'>Shared {{0}} times</div><p>{body}</p>"
+    hosts = {
+        "a": f"<main><h1>Title {{0}}</h1><article>{inner}</article></main>",
+        "b": f"<div><h1>Title {{0}}</h1><div>{inner}</div></div><div class='site-footer'>Foot {{0}}</div>",
+        "c": f"<article>{inner}</article>",
+    }
+    web = [(10 * k + i, f"http://{h}.example/{i}", f"<body>{page.format(i)}</body>") for k, (h, page) in enumerate(hosts.items()) for i in range(5)]
+    rows = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(web, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        want = f"Others of {i}\nImpact of {i}\nFound in {i}\n{body.format(i)}"
+        assert rows[i] == rows[10 + i] == f"Title {i}\n{want}" and rows[20 + i] == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 8)).astype(np.float32)
