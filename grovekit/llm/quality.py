@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, written
@@ -23,8 +23,10 @@ CHAR_LIMIT, WORD_LIMIT = 0.27, 0.38
 CHAR_GUARD, WORD_GUARD = 200, 50
 #: Words of a reference: at most so long, at least this share of their language's words, the most frequent ones.
 SHORT, SHARE, WORDS = 5, 0.002, 24
-#: A language has a reference of its own from this share of all words on, so there are at most 256.
-LANG_SHARE = 1 / 256
+#: A language has a reference from so many words on, whatever else is in the table.
+LEAST_WORDS = 5_000
+#: References beyond so many are joined by a shuffle.
+FEW = 2_000
 
 
 def let(value: Column, body) -> Column:
@@ -60,11 +62,10 @@ def _shape(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, classes array<double>, words array<string>, shares array<double>) from all of `docs`; lang null: the pooled one.
+    """(lang, n, classes array<double>, words array<string>, shares array<double>) of each language of LEAST_WORDS words or more; n is their number.
 
-    At most 256 languages (each has at least LANG_SHARE of all words) and WORDS
-    words each, so the result may be broadcast. Word counts are combined before
-    the shuffle and cut by SHARE (at most 500 words a language) before ranking.
+    Word counts are combined before the shuffle and cut by SHARE (at most 500
+    words a language) before ranking.
     """
     df = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_q_t"))
     df = _shape(df, "_q_t").withColumn("_q_words", _words(F.col("_q_text")))
@@ -74,28 +75,39 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     told = F.array(*[F.struct(F.lit(f" {i}").alias("w"), F.col("_q_classes")[i].alias("c")) for i in range(size)], F.struct(F.lit(" n").alias("w"), F.size("_q_words").cast("long").alias("c")))
     pairs = df.select("lang", F.explode(F.concat(told, F.transform(_short_words(F.col("_q_words")), one))).alias("x"))
     counted = written(pairs.groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.c").alias("count")), "quality-words")
-    by_lang: dict = {}
-    for r in counted.filter(F.col("w").startswith(" ")).collect():  # a few rows a language
-        by_lang.setdefault(r.lang, {})[r.w[1:]] = r["count"]
-    sums = [Row(lang=lang, n=x.get("n", 0), **{f"c{i}": x.get(str(i), 0) for i in range(size)}) for lang, x in by_lang.items()]
+    told = F.map_from_entries(F.collect_list(F.struct("w", "count")))
+    large = counted.filter(F.col("w").startswith(" ") & F.col("lang").isNotNull()).groupBy("lang").agg(told.alias("told")).filter(F.col("told")[" n"] >= LEAST_WORDS)
+    sums = F.array(*[F.col("told")[f" {i}"].cast("double") for i in range(size)])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    shares_of = let(sums, lambda a: F.transform(a, lambda c: c / F.greatest(total(a), F.lit(1.0))))
+    large = written(large.select("lang", F.col("told")[" n"].alias("n"), shares_of.alias("classes")), "quality-languages")
+    least = large.select("lang", (F.col("n") * SHARE).cast("long").alias("least"))
     words = counted.filter(~F.col("w").startswith(" "))
-    everything = sum(r.n for r in sums) or 1
-    large = [r for r in sums if r.lang is not None and r.n >= LANG_SHARE * everything]
-    spark = docs.sparkSession
-    schema = "lang string, classes array<double>, words array<string>, shares array<double>"
+    few = large.count() <= 100 * FEW  # a name and a number each
+    found = words.join(F.broadcast(least) if few else least, "lang").filter("count >= least and count > 0")
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "w"))), 1, WORDS)
+    best = found.groupBy("lang").agg(top.alias("top"))
+    none = F.array().cast("array<string>")
+    out = large.join(best, "lang", "left").select("lang", "n", "classes", F.coalesce("top.w", none).alias("words"), F.coalesce(F.transform("top.c", lambda c: -c / F.col("n")), F.array().cast("array<double>")).alias("shares"))
+    return written(out, "quality-references")
 
-    def best(counts: dict[str, int], n: int) -> tuple[list, list]:
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:WORDS]
-        return [w for w, _ in top], [c / n for _, c in top]
 
-    least = spark.createDataFrame([(r.lang, int(r.n * SHARE)) for r in large], "lang string, least long")
-    found = words.join(F.broadcast(least), "lang").filter("count >= least and count > 0").collect() if large else []
-    pooled = words.groupBy("w").agg(F.sum("count").alias("count")).filter(F.col("count") >= int(everything * SHARE)).collect()
-    rows = []
-    for lang, n, classes, counts in [(r.lang, r.n, [r[f"c{i}"] for i in range(size)], {x.w: x["count"] for x in found if x.lang == r.lang}) for r in large] + [(None, everything, [sum(r[f"c{i}"] for r in sums) for i in range(size)], {x.w: x["count"] for x in pooled})]:
-        total = sum(classes) or 1
-        rows.append((lang, [float(c) / total for c in classes], *best(counts, n or 1)))
-    return spark.createDataFrame(rows, schema)
+def _with_references(df: DataFrame, references: DataFrame, lang: Column) -> DataFrame:
+    """`df` with the struct `_q_ref` of its language, or null.
+
+    The FEW references of most words are broadcast; others, of small languages
+    each, are joined by a shuffle in which rows of no or a large language are
+    dealt evenly.
+    """
+    refs = references.select(F.col("lang").alias("_q_lang"), "n", F.struct("classes", "words", "shares").alias("_q_own"))
+    if references.count() <= FEW:
+        return df.join(F.broadcast(refs.drop("n")), lang == F.col("_q_lang"), "left").withColumnRenamed("_q_own", "_q_ref").drop("_q_lang")
+    first = refs.orderBy(F.desc("n"), "_q_lang").limit(FEW).drop("n")
+    rest = refs.select(F.concat(F.lit("l"), "_q_lang").alias("_q_key"), F.col("_q_own").alias("_q_small"))
+    df = df.join(F.broadcast(first), lang == F.col("_q_lang"), "left")
+    free = F.concat(F.lit("r"), F.pmod(F.xxhash64("_q_text"), F.lit(1 << 16)))
+    df = df.withColumn("_q_at", F.when(F.col("_q_own").isNull() & lang.isNotNull(), F.concat(F.lit("l"), lang)).otherwise(free))
+    return df.join(rest, F.col("_q_at") == F.col("_q_key"), "left").withColumn("_q_ref", F.coalesce("_q_own", "_q_small")).drop("_q_lang", "_q_own", "_q_at", "_q_key", "_q_small")
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -143,18 +155,16 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
 
     A text fails the base rules with fewer than 50 words, or if over half of its
     words lie in 3-word windows found twice. Other texts are held against the
-    histogram of character classes and of common words of their language (the
-    pooled one if the language is null or rare): `kept` is false beyond
-    CHAR_LIMIT or WORD_LIMIT, if the text is long enough for that histogram.
+    histogram of character classes and of common words of their language:
+    `kept` is false beyond CHAR_LIMIT or WORD_LIMIT, if the text is long enough
+    for that histogram. Where the language is null or has no reference, the
+    distances are null and the base rules alone decide.
     Null and empty texts have zero counts and fail. Rows are judged one by one:
     repeated rows get equal verdicts, an empty table gives no rows; a column
     named `quality` is replaced, other columns stay as they are.
     """
     references = language_references(docs, text_col, lang_col) if references is None else references
-    own = F.broadcast(references.select(F.col("lang").alias("_q_lang"), F.struct("classes", "words", "shares").alias("_q_own")).filter("_q_lang is not null"))
-    pooled = F.broadcast(references.filter("lang is null").select(F.struct("classes", "words", "shares").alias("_q_pool")))
-    df = _shape(docs, text_col).join(own, F.col(lang_col).cast("string") == F.col("_q_lang"), "left").join(pooled)
-    df = df.withColumn("_q_ref", F.coalesce("_q_own", "_q_pool"))
+    df = _with_references(_shape(docs, text_col), references, F.col(lang_col).cast("string"))
     text, classes = F.col("_q_text"), F.col("_q_classes")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_q_base", let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r"), _short_words(w).alias("short"))))
@@ -163,8 +173,8 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
     total = F.aggregate(classes, F.lit(0).cast("long"), lambda s, x: s + x)
     places = F.transform(F.col("_q_base.short"), lambda w: F.array_position(F.col("_q_ref.words"), w))
     seen = let(places, lambda x: F.transform(F.col("_q_ref.words"), lambda w, i: F.size(x) - F.size(F.array_remove(x, (i + 1).cast("long")))))
-    df = df.withColumn("_q_char", F.when(total >= CHAR_GUARD, _distance(F.transform(classes, lambda c: c / total), F.col("_q_ref.classes"))))
-    df = df.withColumn("_q_word", F.when(n >= WORD_GUARD, _distance(_with_rest(F.transform(seen, lambda c: c / n)), _with_rest(F.col("_q_ref.shares")))))
+    df = df.withColumn("_q_char", F.when((total >= CHAR_GUARD) & F.col("_q_ref").isNotNull(), _distance(F.transform(classes, lambda c: c / total), F.col("_q_ref.classes"))))
+    df = df.withColumn("_q_word", F.when((n >= WORD_GUARD) & F.col("_q_ref").isNotNull(), _distance(_with_rest(F.transform(seen, lambda c: c / n)), _with_rest(F.col("_q_ref.shares")))))
     names = list(CLASSES)
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEATED * n)
     verdict = F.struct(

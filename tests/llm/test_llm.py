@@ -110,6 +110,25 @@ def test_quality(odd):
     assert quality.quality_filter(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("few", [2000, 1])
+def test_quality_of_tail_languages(spark, few, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", few, raising=False)
+    rnd = random.Random(6)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.choice([2, 3, 7])))
+    scripts = {"en": "abcdefghijklmnop", "th": "กขคงจฉชซญดตถทธน", "xx": "אבגדהוזחטיכלמנ", None: "アイウエオカキクケコ"}
+    sizes = {"en": 9000, "th": 60, "xx": 3, None: 3}  # documents of 100 words; th and xx have less than 1/256
+    rows = []
+    for lang, n in sizes.items():
+        for _ in range(n // 30 if lang == "en" else n):
+            rows.append((lang, " ".join(word(scripts[lang]) for _ in range(3000 if lang == "en" else 100))))
+    rows.append(("th", " ".join(f"{i}{'#$%&'[i % 4] * 6}" for i in range(100))))
+    df = spark.createDataFrame([(i, t, lang, "s", len(t), 1, "x", "y", "z", "w") for i, (lang, t) in enumerate(rows)], DOC)
+    got = {r.doc_id: r.quality for r in quality.quality_rules(df).select("doc_id", "quality").collect()}
+    assert len(got) == len(rows) and not got[len(rows) - 1].kept
+    for i, (lang, _) in enumerate(rows[:-1]):
+        assert got[i].kept and (got[i].char_distance is None) == (lang in ("xx", None))
+
+
 def test_toxicity(spark):
     rnd = random.Random(0)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
