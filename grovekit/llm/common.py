@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: What separates words: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that Python code unpacks at once.
+ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process, as in tests, one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("grovekit.checkpoint.dir", None)
     if not where:
-        where = spark.conf.get("grovekit.checkpoint.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="grovekit-")
-            spark.conf.set("grovekit.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="grovekit-")
+        spark.conf.set("grovekit.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -33,22 +36,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet into the shared folder and read again: small, columnar, survives lost executors."""
+    """Write as Parquet into the shared folder and read again: small, columnar, survives lost executors.
+
+    The folder of the application's tables goes when the application ends;
+    drop() lets one go before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grovekit-{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/grovekit-{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(top)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._grovekit_path = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python, as single texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._grovekit_path)
+        where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most so many rows; Spark bounds their bytes itself."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
 
+def own_prefix(columns: list[str], stem: str) -> str:
+    """A prefix that no column begins with, in any case."""
+    prefix = f"_{stem}_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
 
-def text_of(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

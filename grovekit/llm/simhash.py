@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import drop, own_prefix, parts, written
 from .graph import components
 
 #: Runs of one block key beyond this many fingerprints are split by further blocks.
@@ -43,10 +43,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of every row; fp holds the 64 bits."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
@@ -117,8 +115,6 @@ def block_links(fps: DataFrame, apart: int = 3, blocks: int = 6) -> DataFrame:
     second = [(m, m | s) for m in first for s in block_masks(every & ~m, blocks, apart)]
     masks = first + [both for _, both in second]
     at = {m: [len(first) + i for i, (f, _) in enumerate(second) if f == m] for m in first}
-    session = fps.sparkSession
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
 
     def dealt(df: DataFrame, choices) -> DataFrame:
         return df.select("fp", F.posexplode(choices).alias("c", "key")) if choices is not None else df
@@ -214,14 +210,13 @@ def simhash_firsts(docs: DataFrame, width: int = 3, apart: int = 3, id_col: str
     taken for rows: those without one, or with one that others have too, stay if
     their component has no row before them.
     """
+    own = own_prefix(docs.columns, "s")
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     place = F.struct(id_.isNull().alias("n"), id_.alias("i"), F.sha2(text, 256).alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
-    keyed = docs.withColumn("_s_place", place)
-    each = written(fingerprints(keyed, width, "_s_place", text_col), "simhash-prints")
-    firsts = _rooted(each, apart).groupBy("root").agg(F.min("least").alias("f")).select(*[F.col(f"f.{c}").alias(f"_s_{c}") for c in "nith"])
-    same = F.lit(True)
-    for c in "nith":
-        same &= F.col(f"_s_place.{c}").eqNullSafe(F.col(f"_s_{c}"))
-    # rows that are equal in all columns share a place; of those, one
-    kept = keyed.join(firsts, same, "left_semi").dropDuplicates(["_s_place"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = lambda p: F.concat_ws("|", F.col(f"{p}.n").cast("string"), F.coalesce(F.col(f"{p}.i").cast("string"), F.lit("")), F.coalesce(f"{p}.t", F.lit("-")), F.col(f"{p}.h").cast("string"))
+    placed = docs.withColumn(f"{own}place", place)
+    each = written(fingerprints(placed, width, f"{own}place", text_col), "simhash-prints")
+    firsts = _rooted(each, apart).groupBy("root").agg(F.min("least").alias("f")).select(key("f").alias(f"{own}key"))
+    # rows that share a place are of one component: equal rows are combined before texts are dealt, once, by place
+    single = placed.withColumn(f"{own}key", key(f"{own}place")).drop(f"{own}place").dropDuplicates([f"{own}key"])
+    return single.join(firsts, f"{own}key").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import parts as sliced
 
 
 @cache
@@ -60,6 +60,19 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> np.ndarray:
     return counts + np.bincount(owner, minlength=len(counts))
 
 
+def shared(token_ends: np.ndarray, section_ends: np.ndarray) -> np.ndarray:
+    """Number of tokens of which each section holds some bytes, but not all."""
+    counts = np.zeros(len(section_ends) + 1, np.int64)
+    starts = np.append(0, token_ends[:-1])[: len(token_ends)]
+    first = np.searchsorted(section_ends, starts, side="right")
+    last = np.searchsorted(section_ends, token_ends - 1, side="right")
+    cut = first != last
+    np.add.at(counts, first[cut], 1)
+    np.add.at(counts, last[cut] + 1, -1)
+    empty = section_ends == np.append(0, section_ends[:-1])[: len(section_ends)]
+    return np.where(empty, 0, np.cumsum(counts)[:-1])
+
+
 def token_counts(docs: DataFrame, fields: tuple = ("text",), tokenizer: tuple | None = None, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, field, section int, start long, end long, n_tokens long, n_split long): a row a section.
 
@@ -74,11 +87,10 @@ def token_counts(docs: DataFrame, fields: tuple = ("text",), tokenizer: tuple |
     on every node.
     """
     path, pattern = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sizes = encoding(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             rows, names, numbers, starts, ends, counts, splits = [], [], [], [], [], [], []
             texts = [c.to_pylist() for c in b.columns[1:]]
             for row, parts in enumerate(zip(*texts, strict=True)):
@@ -101,9 +113,7 @@ def token_counts(docs: DataFrame, fields: tuple = ("text",), tokenizer: tuple |
                 begins = np.append(0, tiles[:-1])
                 starts.append(chars[begins])
                 ends.append(chars[tiles])
-                inner = np.isin(tiles, token_ends) | (tiles == len(raw)) | (tiles == begins)
-                cut = (~inner).astype(np.int64)
-                splits.append(cut + np.append(0, cut[:-1]))
+                splits.append(shared(token_ends, tiles))
                 rows.append(np.full(len(tiles), row))
             if rows:
                 ids = b.column(0).take(pa.array(np.concatenate(rows)))
