@@ -21,15 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, written
+from .common import checkpoint, drop, parts, written
 
 LENGTH = 200
 #: Bytes hashed for keys; a string has LENGTH - SHORT + 1 of these.
 SHORT = 32
-#: Bytes of pieces in one transform, and of text hashed at once.
-CHUNK = 1 << 20
-#: Different pieces of one key that meet in one task; beyond them the key is dealt again.
-MEET = 1500
+#: Bytes of text hashed at once, and starts of a piece at most (of long runs, as in periodic texts).
+CHUNK, PIECE = 1 << 20, 4096
+#: Bytes of pieces from which a transform is due.
+DUE = 1 << 19
+#: Different pieces of one key that meet in one task, and their bytes; beyond either the key is dealt again.
+MEET, MEET_BYTES = 1500, 1 << 19
 #: Starts of a piece when dealt again: up to 16 that share all but 15 bytes, then one.
 FINER = (16, 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -83,7 +85,10 @@ def runs(texts: list[bytes], length: int = LENGTH, short: int = SHORT) -> tuple[
             owner = np.repeat(np.arange(len(held)), lengths)[: len(least)]
             at = np.flatnonzero(ends[owner] - np.arange(len(least)) >= length)
             key, own = least[at], owner[at]
-            heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]))))
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))[: len(at)]
+            within = np.arange(len(at))
+            within -= np.maximum.accumulate(np.where(fresh, within, 0))
+            heads = np.flatnonzero(within % PIECE == 0)
             place = np.array([a for _, a, _ in held]) - (ends - lengths)
             count = np.diff(np.append(heads, len(at)))
             within = count + width - 1
@@ -221,7 +226,6 @@ def _u(x: np.ndarray) -> pa.Array:
 class _Search:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, length: int):
         spark = docs.sparkSession
-        small_batches(spark)
         self.length, self.short = length, min(SHORT, max(1, length // 2))
         self.kind = docs.schema[id_col].dataType.simpleString()
         text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -233,7 +237,7 @@ class _Search:
         length, short = self.length, self.short
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches):
                 raws = [t.encode() for t in b.column(2).to_pylist()]
                 if starts:
                     found = []
@@ -256,7 +260,7 @@ class _Search:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[int, int], int] = {}
-            for b in batches:
+            for b in parts(batches):
                 keys, hashes, sent = [], [], []
                 for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     raw = text.encode() if own else b""
@@ -293,7 +297,7 @@ class _Search:
             for b in batches:
                 for key, h, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     if not groups or groups[-1][0] != key:
-                        if size >= CHUNK:
+                        if size >= DUE:
                             yield close()
                             size = 0
                         groups.append((key, {}))
@@ -310,7 +314,7 @@ class _Search:
 
     def with_text(self, own: DataFrame, texts: DataFrame) -> DataFrame:
         """Texts with arrays `mixed` and `later` of their pieces, by `kind`: 0 (neither), 1 or 2."""
-        of = lambda kind: F.array_distinct(F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "count", "key", "body"))))
+        of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("start", "count", "key", "body")))  # noqa: E731  sets, as rows may repeat
         own = own.groupBy("id", "hash").agg(of(1).alias("mixed"), of(2).alias("later"))
         own = own.withColumnsRenamed({"id": "_id", "hash": "_hash"})
         return texts.select("id", "hash", "text").join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("id", "hash", "text", "mixed", "later")
@@ -320,13 +324,18 @@ class _Search:
         texts, asked, found = self.base, None, []
         for starts in (0, *FINER):
             table = written(self.places(texts, starts), "substring-places")
-            keys = table.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b"), F.max("times").alias("most")).filter("times > 1")
+            size = F.col("count").cast("long") + (self.length - 1)
+            keys = table.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.sum(size).alias("bytes"), F.min("body").alias("a"), F.max("body").alias("b"), F.max("times").alias("most")).filter("times > 1")
             # one piece, several times, with no string twice in it: covered whole. Else a transform tells
-            kind = F.when((F.col("a") == F.col("b")) & (F.col("most") == 1), 0).when(F.col("n") <= MEET, 1).otherwise(2)
-            own = written(table.drop("times").join(keys.select("key", kind.alias("kind")), "key"), "substring-twice")
+            fits = lambda n, bytes_: (F.col(n) <= MEET) & (F.col(bytes_) <= MEET_BYTES)
+            kind = F.when((F.col("a") == F.col("b")) & (F.col("most") == 1), 0).when(fits("n", "bytes"), 1).otherwise(2)
+            # written, so that both sides of the join are plain exchanges, whose hot keys are split
+            keys = written(keys.select("key", kind.alias("kind")), "substring-keys")
+            own = written(table.drop("times").join(keys, "key"), "substring-twice")
+            drop(table, keys)
             found.append(own.filter("kind = 0").select("id", "hash", F.col("start").alias("a"), (F.col("start") + F.col("count") + (self.length - 1)).alias("b")))
-            many = own.filter("kind = 2").select("key", "body").distinct().groupBy("key").count()
-            hot = checkpoint(many.filter(F.col("count") > (MEET if starts != 1 else 1 << 40)).select("key", F.lit(True).alias("hot")))
+            many = own.filter("kind = 2").groupBy("key", "body").agg(F.max(size).alias("bytes")).groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+            hot = checkpoint(many.filter(~fits("n", "bytes") & F.lit(starts != 1)).select("key", F.lit(True).alias("hot")))
             deeper = not hot.isEmpty()
             if deeper:
                 own = own.join(hot, "key", "left").withColumn("kind", F.when(F.col("kind") == 0, 0).when(F.col("hot"), 2).otherwise(1))
@@ -343,7 +352,7 @@ class _Search:
         every = found[0]
         for part in found[1:]:
             every = every.unionByName(part)
-        spans = every.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+        spans = every.groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
         return asked.select("id", "hash", "text"), spans
 
 
@@ -374,7 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, content: bool = True,
     joined = texts.join(spans, same, "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw, out = text.encode(), merged([(s["a"], s["b"]) for s in own or []])
