@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_prefix
 from .quality import let
 
 GAP = r"""["']?\x20*[:=]\x20*["']?"""
@@ -16,32 +17,37 @@ STRONG = {
 }
 #: Weak parts, in the order of ties after the strong kinds: parts of a credential that mean little alone.
 WEAK = {
-    "identifier": (rf"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{{8,13}}(?![A-Za-z0-9])|(?:ASIA|AIDA|AROA)[A-Z0-9]{{12,28}}(?![A-Za-z0-9])|(?i:client_?id|access_?id|account_?id|user_?name|login){GAP}[A-Za-z0-9_.@-]{{3,64}})", 3),
+    "identifier": (rf"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{{8,13}}(?![A-Za-z0-9])|(?:ASIA|AIDA|AROA)[A-Z0-9]{{12,28}}(?![A-Za-z0-9])|(?i:client_?id|access_?id|account_?id|user_?name|login){GAP}[A-Za-z0-9_.@-]{{3,}})", 3),
     "candidate": (rf"(?<![A-Za-z0-9+/=_-])((?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?!AKIA)[A-Za-z0-9+/]{{20,}}={{0,2}}|(?i:pwd|passphrase|credentials?|auth_?key|secret_?key|private_?key){GAP}[A-Za-z0-9+/_.=-]{{6,}})", 6),
     "endpoint": (r"((?i:https?|ftps?|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D\"'<>]{3,}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?(?![0-9.]))", 7),
 }
 KINDS = [*STRONG, *WEAK]
-#: Scope: parts within so many code points of one another.
+#: Scope: at most so many code points between the end of one part and the start of the other.
 REACH = 200
 MASK = "[secret]"
-BLOCK = 64
+#: Values folded at once, levels of such blocks, and code points of a text that are cut out at once.
+BLOCK, LEVELS, CUT = 64, 3, 1024
 FAR = 1 << 40
 
 
-def running(values: Column, step, start: int) -> Column:
-    """Inclusive running fold of an array of longs, in blocks so that its work is near linear."""
-    start = F.lit(start).cast("long")
-    fold = lambda x: F.aggregate(x, start, step)
+def running(values: Column, step, start: int, levels: int = LEVELS) -> Column:
+    """Inclusive running fold of an array of longs: blocks of BLOCK, whose folds run likewise, so that work is near linear."""
+    first = F.lit(start).cast("long")
+    fold = lambda x: F.aggregate(x, first, step)
 
     def of(x: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
         sums = F.transform(blocks, lambda b: fold(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
-        before = lambda s: F.transform(blocks, lambda b: fold(F.slice(s, F.lit(1), b)))
+        if levels > 1:
+            before = lambda s: F.concat(F.array(first), running(s, step, start, levels - 1))
+        else:
+            before = lambda s: F.transform(blocks, lambda b: fold(F.slice(s, F.lit(1), b)))
         inner = lambda i: (i % BLOCK).cast("int")
         each = lambda p: F.transform(x, lambda _, i: step(p[F.floor(i / BLOCK).cast("int")], fold(F.slice(x, i - inner(i) + 1, inner(i) + 1))))
         return let(let(sums, before), each)
 
-    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(let(values, of))
+    short = let(values, lambda x: F.transform(x, lambda _, i: fold(F.slice(x, F.lit(1), i + 1))))
+    return F.when(F.size(values) <= BLOCK, short).otherwise(let(values, of))
 
 
 def _found(text: Column, kind: str, pattern: str, least: int) -> Column:
@@ -65,12 +71,12 @@ def _found(text: Column, kind: str, pattern: str, least: int) -> Column:
 
 
 def _near(parts: Column, is_role) -> Column:
-    """For each part (sorted by start), whether one of the role starts within REACH before or after it."""
+    """For each part (sorted by start), whether REACH or less lies between it and one of the role before or after it."""
     most, least = (lambda a, b: F.greatest(a, b)), (lambda a, b: F.least(a, b))
-    place = lambda other: F.transform(parts, lambda x: F.when(is_role(x), x.start).otherwise(F.lit(other)).cast("long"))
-    last = running(place(-FAR), most, -FAR)
-    after = F.reverse(running(F.reverse(place(FAR)), least, FAR))
-    judge = lambda both: F.zip_with(parts, both, lambda x, y: (x.start - y.a <= REACH) | (y.b - x.start <= REACH))
+    place = lambda at, other: F.transform(parts, lambda x: F.when(is_role(x), at(x)).otherwise(F.lit(other)).cast("long"))
+    last = running(place(lambda x: x.end, -FAR), most, -FAR)
+    after = F.reverse(running(F.reverse(place(lambda x: x.start, FAR)), least, FAR))
+    judge = lambda both: F.zip_with(parts, both, lambda x, y: (x.start - y.a <= REACH) | (y.b - x.end <= REACH))
     return let(F.zip_with(last, after, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), judge)
 
 
@@ -113,20 +119,23 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     enough. Weak parts (identifiers, candidates for secrets, endpoints) are joined
     with all parts of the text by interval: each is reported only with its
     complement within REACH code points. A candidate that a strong span or an
-    identifier covers is dropped; the interval runs from start to start. Null and empty texts have empty arrays; rows are judged one by
-    one, so repeated rows get equal spans and an empty table no rows; a column
-    named `secrets` is replaced, others stay.
+    identifier covers is dropped; the interval runs from the end of the one to the
+    start of the other, so long parts stay linked to what follows them. Null and
+    empty texts have empty arrays; rows are judged one by one, so repeated rows get
+    equal spans and an empty table no rows; a column named `secrets` is replaced,
+    others stay, whatever their names.
     """
-    df = docs.withColumn("_s_text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    text = F.col("_s_text")
+    s = own_prefix(docs.columns, "s")
+    df = docs.withColumn(f"{s}text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    text = F.col(f"{s}text")
     for kind, (pattern, least) in (STRONG | WEAK).items():
-        df = df.withColumn(f"_s_{kind}", _found(text, kind, pattern, least))
-    df = df.withColumn("_s_strong", F.sort_array(F.concat(*[F.col(f"_s_{k}") for k in STRONG])))
-    covering = F.concat("_s_strong", "_s_identifier")
-    weak = F.concat("_s_identifier", _uncovered(F.col("_s_candidate"), covering), "_s_endpoint")
-    df = df.withColumn("_s_weak", weak)
-    df = df.withColumn("_s_linked", _linked(F.col("_s_strong"), F.col("_s_weak")))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], F.struct(F.col("_s_strong").alias("strong"), F.col("_s_linked").alias("linked")).alias("secrets"))
+        df = df.withColumn(f"{s}{kind}", _found(text, kind, pattern, least))
+    df = df.withColumn(f"{s}strong", F.sort_array(F.concat(*[F.col(f"{s}{k}") for k in STRONG])))
+    covering = F.concat(f"{s}strong", f"{s}identifier")
+    weak = F.concat(f"{s}identifier", _uncovered(F.col(f"{s}candidate"), covering), f"{s}endpoint")
+    df = df.withColumn(f"{s}weak", weak)
+    df = df.withColumn(f"{s}linked", _linked(F.col(f"{s}strong"), F.col(f"{s}weak")))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], F.struct(F.col(f"{s}strong").alias("strong"), F.col(f"{s}linked").alias("linked")).alias("secrets"))
 
 
 def span_list(spans: Column) -> Column:
@@ -144,19 +153,41 @@ def count_of(secrets: Column, kind: str) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every run of (possibly overlapping) spans replaced by MASK."""
+    """The text with every run of (possibly overlapping) spans replaced by MASK.
 
-    def build(x: Column) -> Column:
+    What lies between them is cut from pieces of CUT code points, so that no
+    span is sought from the start of a long text.
+    """
+
+    def build(both: Column) -> Column:
+        x, pieces = both.x, both.pieces
         ends = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(x, lambda s: s.end), lambda a, b: F.greatest(a, b), 0))
-        pieces = lambda e: F.transform(x, lambda s, i: F.when(s.start >= e[i], F.concat(F.substring(text, (e[i] + 1).cast("int"), (s.start - e[i]).cast("int")), F.lit(MASK))).otherwise(F.lit("")))
-        tail = lambda e: F.substring(text, (e[F.size(x)] + 1).cast("int"), F.length(text))
-        return let(ends, lambda e: F.concat(F.array_join(pieces(e), ""), tail(e)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(spans, build))
+        def between(a: Column, b: Column | None) -> Column:
+            """From place a up to b, or to the end."""
+            i, at = F.floor(a / CUT).cast("int"), (a % CUT + 1).cast("int")
+            here = F.coalesce(F.get(pieces, i), F.lit(""))
+            rest = lambda n: F.array_join(F.slice(pieces, i + 2, n), "")
+            if b is None:
+                return F.concat(F.substring(here, at, F.lit(CUT)), rest(F.greatest(F.size(pieces) - i - 1, F.lit(0))))
+            j = F.floor(b / CUT).cast("int")
+            last = F.substring(F.coalesce(F.get(pieces, j), F.lit("")), F.lit(1), (b % CUT).cast("int"))
+            return F.when(i == j, F.substring(here, at, (b - a).cast("int"))).otherwise(F.concat(F.substring(here, at, F.lit(CUT)), rest(j - i - 1), last))
+
+        kept = lambda e: F.transform(x, lambda s, i: F.when(s.start >= e[i], F.concat(between(e[i], s.start), F.lit(MASK))).otherwise(F.lit("")))
+        return let(ends, lambda e: F.concat(F.array_join(kept(e), ""), between(e[F.size(x)], None)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(spans.alias("x"), pieces.alias("pieces")), build))
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with secrets in the text replaced by MASK; rows and columns as given, null texts stay null."""
-    found = secret_spans(docs, text_col)
-    text = F.when(F.col(f"`{text_col}`").isNotNull(), masked(F.col(f"`{text_col}`"), all_spans(F.col("secrets"))))
-    return found.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs
+    if "secrets" in docs.columns:  # which secret_spans() would replace
+        kept = docs.withColumn(own_prefix(docs.columns, "m") + "secrets", F.col("secrets"))
+    found = secret_spans(kept, text_col)
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), masked(F.col(f"`{text_col}`").cast("string"), all_spans(F.col("secrets"))))
+    found = found.withColumn(text_col, text)
+    same = lambda c: F.col(own_prefix(docs.columns, "m") + "secrets").alias(c) if c == "secrets" else F.col(f"`{c}`")
+    return found.select(*[same(c) for c in docs.columns])
