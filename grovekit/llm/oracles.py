@@ -24,12 +24,12 @@ select doc_id, size, source_size, target, ((floor(rate) + case when u < rate - f
 """
 
 OP9 = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
-select query_id, rank, vec_id, score from r where rank <= 5
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.r as q, q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r),
+t as (select *, row_number() over (partition by q order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from t where rank <= 5
 """
 
 SQL = {"op4_mix_sources": OP4, "op9_exact_top_k": OP9}

@@ -39,12 +39,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_counts(table(spark, sf_dir, "documents"))
+    mixed = mix_counts(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
@@ -62,8 +62,7 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
-    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+    return top_k(whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
