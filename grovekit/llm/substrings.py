@@ -31,7 +31,7 @@ CHUNK, PIECE = 1 << 20, 4096
 #: Bytes of pieces from which a transform is due.
 DUE = 1 << 19
 #: Different pieces of one key that meet in one task, and their bytes; beyond either the key is dealt again.
-MEET, MEET_BYTES = 1500, 1 << 19
+MEET, MEET_BYTES = 1500, 1 << 20
 #: Starts of a piece when dealt again: up to 16 that share all but 15 bytes, then one.
 FINER = (16, 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -287,8 +287,8 @@ class _Search:
 
             def close() -> pa.RecordBatch:
                 all_ = [(key, h, x, n) for key, g in groups for h, (x, n) in g.items()]
-                twice = [x for _, _, x, n in all_ if n > 1]  # two copies tell as much as many
-                covers = repeats([x for _, _, x, _ in all_] + twice, length)[: len(all_)] if all_ else []
+                covers = repeats([x for _, _, x, _ in all_], length) if all_ else []
+                covers = [[(0, len(x))] if n > 1 else c for (_, _, x, n), c in zip(all_, covers, strict=True)]  # copies cover one another
                 some = [i for i, c in enumerate(covers) if c]
                 cover = pa.array([[{"a": a, "b": b} for a, b in covers[i]] for i in some], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
                 groups.clear()
