@@ -10,10 +10,11 @@ KINDS = (("forks/inbox/", "snapshot"), ("heads/", "commit"), ("forks/", "commit"
 
 
 def valid_ref(name: Column) -> Column:
-    """1 to 512 bytes, no control character, backslash or colon, no empty, "." or ".." component; inbox names have two leaves."""
+    """1 to 512 bytes, no control character, backslash or colon, no empty, "." or ".." component; inbox names have two leaves, an agent's plain name and a task."""
     parts = F.split(name, "/")
-    plain = F.octet_length(name).between(1, 512) & ~name.rlike(r"[\x00-\x1f\x7f\\:]") & F.forall(parts, lambda p: ~p.isin("", ".", ".."))
-    return plain & (~F.startswith(name, F.lit("inbox/")) | (F.size(parts) == 3))
+    plain = F.octet_length(name).between(1, 512) & ~name.rlike(r"[\x00-\x1f\x7f-\x9f\\:]") & F.forall(parts, lambda p: ~p.isin("", ".", ".."))
+    agent, task = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    return plain & (~F.startswith(name, F.lit("inbox/")) | ((F.size(parts) == 3) & (agent_name(agent) == agent) & valid_task(task)))
 
 
 def ref_kind(name: Column) -> Column:

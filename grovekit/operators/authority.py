@@ -6,7 +6,7 @@ import hashlib
 import hmac
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import glob
@@ -81,6 +81,16 @@ def allows(cap: Cap, op: Column, name: Column, now: Column) -> Column:
     return ok & (name.isNull() | named)
 
 
+def visible(names: DataFrame, cap: Cap, op: Column, now: Column) -> DataFrame:
+    """(name, suppressed): the names (name) that the capability allows, by name, each with the number of those it hides.
+
+    If it hides all of them there is one row, with a null name.
+    """
+    rows = names.withColumn("ok", F.coalesce(allows(cap, op, F.col("name"), now), F.lit(False)))
+    hidden = rows.agg(F.count_if(~F.col("ok")).alias("suppressed"))  # one row
+    return hidden.join(rows.filter("ok").select("name"), F.lit(True), "left").select("name", "suppressed").orderBy("name")
+
+
 def chain(key: bytes, caveats: list[str]) -> bytes:
     """Signature of a token: each caveat is signed with the signature before it, so that holders can only add."""
     for c in caveats:

@@ -12,27 +12,56 @@ def kept(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that lost executors cost no restart."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grovekit-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="grovekit-")  # all runs in one process
+        spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Kept in partitions by these columns, which joins on them find as they are."""
+    return kept(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by))
+
+
+#: Rounds after which what is known is put together.
+TOGETHER = 8
+
+
 def closure(starts: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(key, node): every node reachable from the starts (key, node) of each key, themselves included.
 
     Semi-naive: each round joins only the newest nodes with the edges and drops
-    what is known; rounds are as many as the longest shortest path. A limit
-    raises, it never cuts.
+    what is known; rounds are as many as the longest shortest path. Edges are read
+    and dealt once, by their source; what is known stays dealt by key and node, so
+    a round shuffles no more than its new nodes. Nulls are no nodes; repeated rows
+    count once; no starts give no rows. A limit raises, it never cuts.
     """
-    seen = front = kept(starts.select("key", "node").distinct())
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_dst")).distinct()
+    front = _dealt(starts.select("key", "node").dropna().distinct(), "key", "node")
+    links = _dealt(edges.select(F.col("src").alias("node"), F.col("dst").alias("_dst")).dropna().distinct(), "node")
+    known, total = [front], front.count()
     while True:
-        front = front.join(links, "node").select("key", F.col("_dst").alias("node")).distinct()
-        front = kept(front.join(seen, ["key", "node"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-        if limit is not None and seen.count() > limit:
+        if limit is not None and total > limit:
             raise ValueError(f"more than {limit} nodes are reachable")
+        front = front.join(links, "node").select("key", F.col("_dst").alias("node")).distinct()
+        for seen in known:
+            front = front.join(seen, ["key", "node"], "left_anti")
+        front = _dealt(front, "key", "node")
+        if not (fresh := front.count()):
+            break
+        known, total = [*known, front], total + fresh
+        if len(known) > TOGETHER:
+            known = [_dealt(_all_of(known), "key", "node")]
+    return _all_of(known)
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def merge_bases(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,33 +9,46 @@ from .graph import kept
 
 
 def ranked(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, at, n): the ascending place of each value in its group, from 1, and the group's size.
+    """(group, value, before, c, n): each different value with its count, the number of smaller ones in its group, and the group's size.
 
-    Rows are dealt by ranges of (group, value); a range ranks its own rows, and
-    the sizes of the ranges before it are added. So a group as large as all
-    rows is spread over all tasks.
+    Equal values are counted before anything is dealt, then rows are dealt by
+    ranges of (group, value); a range adds up its own, and the sums of the ranges
+    before it are added. So neither a group as large as all rows nor one value
+    on most of them is a burden. Null values take no part; a null group is one.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v is not null")
+    counts = df.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
     # kept, as another run might draw other ranges
-    dealt = kept(rows.repartitionByRange(F.col("g"), F.col("v")).withColumn("p", F.spark_partition_id()))
-    sizes = dealt.groupBy("g", "p").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("g").orderBy("p")
-    starts = sizes.select("g", "p", (F.sum("c").over(w) - F.col("c")).alias("start"), F.sum("c").over(Window.partitionBy("g")).alias("n"))
-    here = dealt.withColumn("i", F.row_number().over(Window.partitionBy("g", "p").orderBy("v")))
-    return here.join(starts, ["g", "p"]).select(F.col("g").alias(group), F.col("v").alias(value), (F.col("start") + F.col("i")).alias("at"), "n")
+    dealt = kept(counts.repartitionByRange(F.col("g"), F.col("v")).withColumn("p", F.spark_partition_id()))
+    sizes = dealt.groupBy("g", "p").agg(F.sum("c").alias("s"))
+    w = Window.partitionBy("g").orderBy("p")  # a row a range
+    starts = sizes.select(F.col("g").alias("_g"), F.col("p").alias("_p"), (F.sum("s").over(w) - F.col("s")).alias("start"), F.sum("s").over(Window.partitionBy("g")).alias("n"))
+    here = dealt.withColumn("i", F.sum("c").over(Window.partitionBy("g", "p").orderBy("v")) - F.col("c"))
+    both = here.join(starts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_p")))
+    return both.select(F.col("g").alias(group), F.col("v").alias(value), (F.col("start") + F.col("i")).alias("before"), "c", "n")
+
+
+def _at(index, value: str):
+    """The value at that index, from 0, of its group."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("c")), F.col(value)))
 
 
 def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """p50, p95, p99 and max of each group: the value at index round((n - 1) * p), halves away from zero."""
+    """n, sum, p50, p95, p99 and max of each group: the value at index round((n - 1) * p), halves away from zero.
+
+    A group without values has zeros.
+    """
     rows = ranked(df, group, value)
-    at = lambda p: F.max(F.when(F.col("at") == F.round((F.col("n") - 1) * F.lit(p)).cast("long") + 1, F.col(value)))
-    return rows.groupBy(group).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max"))
+    at = lambda p: _at(F.round((F.col("n") - 1) * F.lit(p)).cast("long"), value)
+    told = rows.groupBy(group).agg(F.max("n").alias("n"), F.sum(F.col(value) * F.col("c")).alias("sum"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max"))
+    every = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_rows")).drop("_rows")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(told.schema[c].dataType)).alias(c)
+    return every.join(told, F.col("_g").eqNullSafe(F.col(group)), "left").select(F.col("_g").alias(group), *[zero(c) for c in ("n", "sum", "p50", "p95", "p99", "max")])
 
 
 def medians(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The upper median, at index n / 2, and the lower one."""
+    """The upper median, at index n / 2, and the lower one, of each group with a value."""
     rows = ranked(df, group, value)
-    at = lambda i: F.max(F.when(F.col("at") == i + 1, F.col(value)))
+    at = lambda i: _at(i, value)
     return rows.groupBy(group).agg(at(F.floor(F.col("n") / 2)).alias("upper_median"), at(F.floor((F.col("n") - 1) / 2)).alias("median_low"))
 
 

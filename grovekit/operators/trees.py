@@ -15,27 +15,29 @@ from .graph import kept
 FILE = ["path", "id", "exec"]
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """All entries (path, kind, id, exec), directories and the root "" among them.
-
-    A directory's id is the hash of its entries in order of name, each with the
-    length of its name before it, so that equal ids mean equal subtrees. Levels
-    are hashed from the deepest up; a level is one aggregate by parent.
+def entries(files: DataFrame, *by: str) -> DataFrame:
+    """All entries (`by`, path, kind, id, exec), directories and the root "" among them; a tree for each value of the columns `by`.
+
+    A directory's id is the hash of how many entries it has and of the sums of
+    their hashes, in four words each, so it is built by partial sums wherever its
+    entries lie, however many there are. Equal subtrees have equal ids, and unequal
+    ones unequal ids, unless someone seeks such sums on purpose. Levels are hashed
+    from the deepest up; a level is one aggregate by parent.
     """
-    each = files.select(*FILE, F.lit("blob").alias("kind"), depth(F.col("path")).alias("depth"))
+    each = kept(files.select(*by, *FILE, F.lit("blob").alias("kind"), depth(F.col("path")).alias("depth")))
     deepest = each.agg(F.max("depth")).first()[0] or 0
-    out, below = None, None
-    for d in range(deepest, -1, -1):
-        level = each.filter(F.col("depth") == d).select("path", "kind", "id", "exec")
-        if below is not None:
-            line = lambda e: F.concat(F.length(e["name"]), F.lit(":"), e["name"], F.lit("|"), e["kind"], F.lit("|"), e["id"], F.lit("|"), e["exec"].cast("int"))
-            inside = F.array_sort(F.collect_list(F.struct(name_of(F.col("path")).alias("name"), "kind", "id", "exec")))
-            dirs = below.groupBy(parent(F.col("path")).alias("path")).agg(F.sha2(F.array_join(F.transform(inside, line), "\n"), 256).alias("id"))
-            dirs = kept(dirs)
-            level = level.unionByName(dirs.select("path", F.lit("tree").alias("kind"), "id", F.lit(False).alias("exec")))
-        out = level if out is None else out.unionByName(level)
-        below = level
-    return kept(out)  # what follows reads it several times
+    line = F.concat(F.length("name"), F.lit(":"), F.col("name"), F.lit("|"), F.col("kind"), F.lit("|"), F.col("id"), F.lit("|"), F.col("exec").cast("int"))
+    word = lambda i: F.conv(F.substring("hash", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.sum(word(i)).cast("string") for i in range(4)]
+    out, dirs = each.select(*by, "path", "kind", "id", "exec"), None
+    for d in range(deepest, 0, -1):
+        level = each.filter(F.col("depth") == d).select(*by, "path", "kind", "id", "exec")
+        level = level if dirs is None else level.unionByName(dirs)
+        hashed = level.select(*by, parent(F.col("path")).alias("path"), name_of(F.col("path")).alias("name"), "kind", "id", "exec").withColumn("hash", F.sha2(line, 256))
+        ids = hashed.groupBy(*by, "path").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("id"))
+        dirs = kept(ids.select(*by, "path", F.lit("tree").alias("kind"), "id", F.lit(False).alias("exec")))
+        out = out.unionByName(dirs)
+    return out
 
 
 def flatten(files: DataFrame) -> DataFrame:

@@ -41,14 +41,14 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("oid"), F.octet_length("text").cast("long").alias("size"), F.col("source").alias("agent"), F.col("doc_id").alias("seq"))
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.concat_ws("/", "lang", "source").alias("d"), F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/d"), F.col("doc_id")).alias("path"), F.sha2("text", 256).alias("id"), (F.col("n_chars") % 2 == 1).alias("exec"))
 
 
-def files(spark: SparkSession, sf_dir: str, side: str = "base") -> DataFrame:
-    """(path, id, exec) of the base, of ours or theirs, or of the edits of an overlay (id null: removed)."""
-    base = _base(spark, sf_dir)
+def files(spark: SparkSession, sf_dir: str, side: str = "base", base: DataFrame | None = None) -> DataFrame:
+    """(path, id, exec) of the base, of ours or theirs, or of the edits of an overlay (id null: removed); `base` may hold the hashed documents."""
+    base = hashed(spark, sf_dir) if base is None else base
     if side == "base":
         return base.select("path", "id", "exec")
     told = SIDES[side]
@@ -98,7 +98,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("a", F.col("conv_id") * 100 + F.col("turn")).join(right, "conv_id").select(F.col("conv_id").alias("pair"), "a", "b")
 
 
-PAIRS_SQL = """heads as (select conv_id, conv_id * 100 + max(turn) as head from conversations where conv_id <= 40 group by conv_id),
+PAIRS_SQL = """heads as (select conv_id, conv_id * 100 + max(turn) as head from conversations group by conv_id),
 pairs as (select x.conv_id as pair, x.head as a, y.head as b from heads x join heads y on y.conv_id = x.conv_id + 1)"""
 
 #: Object graph of the trade tables: (kind, table, node, parent's node, size, age).

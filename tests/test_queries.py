@@ -31,4 +31,4 @@ def test_query(spark, duck, name):
     want = duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
-    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.select(", ".join(columns)).fetchall()))
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.select(", ".join(f'"{c}"' for c in columns)).fetchall()))
