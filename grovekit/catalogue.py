@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import authority, graph, history, merging, metrics, trees
+from .operators import authority, catalog, graph, history, merging, metrics, trees
 from .plans import sql
 from .sources import datasets as data
+from .sources import store
 from .sources.datasets import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,3 +327,60 @@ def event_shares(spark, sf_dir):
 def w6_tree(spark, sf_dir):
     i = F.col("id")
     return spark.range(10_000).select(F.format_string("/d%04d/f%04d.txt", F.floor(i / 1000), i % 1000).alias("path"), i.alias("n"))
+
+
+OBJECTS = ("tree_entry", "commits", "commit_parent", "contributions", "contribution_parent", "contribution_read", "snapshots", "conflicts", "conflict_base", "conflict_causal", "conflict_path", "objects")
+
+
+@query
+def edge_expansion(spark, sf_dir):
+    return catalog.typed_edges(store.relations(spark, sf_dir, *OBJECTS))
+
+
+@query
+def gc_roots(spark, sf_dir):
+    return catalog.gc_roots(store.relations(spark, sf_dir), store.OID).distinct()
+
+
+@query
+def gc_root_counts(spark, sf_dir):
+    return catalog.root_counts(store.relations(spark, sf_dir), store.OID)
+
+
+@query
+def closure_verified(spark, sf_dir):
+    of = store.relations(spark, sf_dir)
+    return catalog.verified_closure(catalog.gc_roots(of, store.OID), catalog.typed_edges(of), store.spoilt(of["objects"]))
+
+
+@query
+def gc_live(spark, sf_dir):
+    return catalog.live_objects(store.relations(spark, sf_dir), store.OID)
+
+
+@query
+def gc_sweep(spark, sf_dir):
+    of = store.relations(spark, sf_dir)
+    return catalog.sweep(of["objects"], catalog.live_objects(of, store.OID), catalog.typed_edges(of), 60, batch=300)
+
+
+@query
+def catalog_audit(spark, sf_dir):
+    return catalog.audit(store.relations(spark, sf_dir), store.OID)
+
+
+@query
+def fsck(spark, sf_dir):
+    of = store.relations(spark, sf_dir)
+    return catalog.fsck(of | {"objects": store.spoilt(of["objects"])}, store.OID)
+
+
+@query
+def lca(spark, sf_dir):
+    pairs = data.pairs(spark, sf_dir)
+    return catalog.lca(pairs, graph.merge_bases(pairs, data.commits(spark, sf_dir)[1]))
+
+
+@query
+def ledger_standing(spark, sf_dir):
+    return catalog.ledger(store.relation(spark, sf_dir, "schema_migrations"))
