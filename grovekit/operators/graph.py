@@ -26,15 +26,15 @@ def _dealt(df: DataFrame, *by: str) -> DataFrame:
     return kept(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by))
 
 
-#: Rounds after which what is known is put together.
-TOGETHER = 8
+#: Rounds after which what is known is put together, and edges followed in a row in each round.
+TOGETHER, HOPS = 8, 4
 
 
 def closure(starts: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(key, node): every node reachable from the starts (key, node) of each key, themselves included.
 
-    Semi-naive: each round joins only the newest nodes with the edges and drops
-    what is known; rounds are as many as the longest shortest path. Edges are read
+    Semi-naive: each round follows up to HOPS edges from the newest nodes and drops
+    what is known; rounds are the longest shortest path over HOPS. Edges are read
     and dealt once, by their source; what is known stays dealt by key and node, so
     a round shuffles no more than its new nodes. Nulls are no nodes; repeated rows
     count once; no starts give no rows. A limit raises, it never cuts.
@@ -45,13 +45,22 @@ def closure(starts: DataFrame, edges: DataFrame, limit: int | None = None) -> Da
     while True:
         if limit is not None and total > limit:
             raise ValueError(f"more than {limit} nodes are reachable")
-        front = front.join(links, "node").select("key", F.col("_dst").alias("node")).distinct()
+        steps = []
+        for hop in range(1, HOPS + 1):
+            front = front.join(links, "node").select("key", F.col("_dst").alias("node")).distinct()
+            steps.append(front.withColumn("hop", F.lit(hop)))
+        found = _all_of(steps).groupBy("key", "node").agg(F.min("hop").alias("hop"))
         for seen in known:
-            front = front.join(seen, ["key", "node"], "left_anti")
-        front = _dealt(front, "key", "node")
-        if not (fresh := front.count()):
+            found = found.join(seen, ["key", "node"], "left_anti")
+        found = _dealt(found, "key", "node")
+        fresh, ends = found.agg(F.count("*"), F.count_if(F.col("hop") == HOPS)).first()
+        if fresh:
+            known, total = [*known, found.select("key", "node")], total + fresh
+        if not ends:
+            if limit is not None and total > limit:
+                raise ValueError(f"more than {limit} nodes are reachable")
             break
-        known, total = [*known, front], total + fresh
+        front = found.filter(F.col("hop") == HOPS).select("key", "node")  # the others' edges are followed
         if len(known) > TOGETHER:
             known = [_dealt(_all_of(known), "key", "node")]
     return _all_of(known)

@@ -40,7 +40,7 @@ union all select 'main', concat('c', min(event_id)), 'commit', true, false from
     "reflog": f"""select i as id, {_HEAD} as name, case when i % 37 = 0 then 'c999999999' when p is null then null else concat('c', p) end as old_oid, concat('c', i) as new_oid, case when i % 41 = 0 then 'abandon' when i % 43 = 0 then 'fork' else 'cas' end as reason from {_E}
 union all select 1000000000 + i, concat('tags/v', i), null, concat('s', i), 'seal' from {_E} where i % 40 = 7 and i % 280 <> 127
 union all select 1000000000 + i, concat('conflicts/main/', i), null, concat('k', i), 'conflict' from {_E} where i % 53 = 11
-union all select 1000000000 + i, concat('forks/main/u', u, '/', i), concat('c', p), concat('c', i), case when i % 58 = 3 then 'fork' else 'cas' end from {_E} where i % 29 = 3
+union all select 1000000000 + i, concat('forks/main/u', u, '/', i), case when p is not null then concat('c', p) end, concat('c', i), case when i % 58 = 3 then 'fork' else 'cas' end from {_E} where i % 29 = 3
 union all select 1000000000 + min(event_id), 'main', null, concat('c', min(event_id)), 'init' from {{events}}""",
     "namespaces": f"select concat('n', u) as id, concat('u', u) as agent_id, case when u % 29 <> 4 then concat('c', z) end as pinned_oid, case when u % 37 = 9 then 'conflicts/main/11' when u % 7 <> 6 then {_HEAD} end as live_ref from {_U}",
     "mounts": f"""select concat('n', u) as ns_id, '/' as path, concat('ref:', {_HEAD}) as spec, 'rw' as mode, case when u % 47 = 3 then 'not an id' else concat('c', z) end as base_oid from {_U}
