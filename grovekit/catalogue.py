@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import authority, catalog, graph, history, merging, metrics, trees
+from .operators import authority, catalog, graph, history, merging, metrics, trees, workspace
 from .plans import sql
 from .sources import datasets as data
-from .sources import store
+from .sources import filesystem, store
 from .sources.datasets import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,13 +252,19 @@ def retired_names(spark, sf_dir):
     return history.retired(data.reflog(spark, sf_dir)[0])
 
 
+def _proposals(spark, sf_dir, chained):
+    e, expected = table(spark, sf_dir, "events"), "chained" if chained else "batch"
+    return spark.sql(store.PROPOSALS.format(events="{e}", expected=store.EXPECTED[expected]), e=e), spark.sql(store.HEADS, events=e), spark.sql(store.RETIRED, events=e)
+
+
 @query
 def cas_batch(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    oid = lambda x: F.sha2(F.concat(F.lit("h"), x), 256)
-    ref = F.concat_ws("/", F.lit("heads"), "event_type", (F.col("user_id") % 9).cast("string"))
-    tried = events.select(F.col("event_id").alias("seq"), ref.alias("ref"), F.concat(F.lit("u:"), F.col("user_id")).alias("agent"), "event_id").withColumn("expected", F.when(F.col("event_id") % 5 == 0, oid(F.lit("old"))).otherwise(oid(F.col("ref"))))
-    return history.cas_batch(tried, tried.select("ref", oid(F.col("ref")).alias("head")).distinct())
+    return workspace.cas_batch(*_proposals(spark, sf_dir, False))
+
+
+@query
+def cas_chain(spark, sf_dir):
+    return workspace.cas_chain(*_proposals(spark, sf_dir, True))
 
 
 def _reads(spark, sf_dir):
@@ -268,14 +274,46 @@ def _reads(spark, sf_dir):
     return o, ns, mount, path
 
 
+def _session(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return {n: spark.sql(q, orders=o) for n, q in store.SESSIONS.items()}
+
+
 @query
 def stale_observations(spark, sf_dir):
-    o, ns, mount, path = _reads(spark, sf_dir)
-    key, status = F.col("o_orderkey"), F.sha2("o_orderstatus", 256)
-    seen = o.select(ns, mount, path, F.when(key % 17 == 0, "absent").otherwise("blob").alias("kind"), F.when(key % 17 != 0, status).alias("oid"))
-    now = o.filter(key % 29 != 0).select(path, F.when(key % 31 == 0, F.sha2(F.lit("changed"), 256)).otherwise(status).alias("oid"))
-    mounts = o.filter("o_custkey % 41 <> 0").select(ns, mount).distinct()
-    return history.stale_observations(seen, now, o.filter(key % 37 == 0).select(ns, mount, path), mounts)
+    of = _session(spark, sf_dir)
+    return workspace.stale_observations(of["reads"], of["mounted"], of["entries"], of["staged"])
+
+
+@query
+def effective_work(spark, sf_dir):
+    of = _session(spark, sf_dir)
+    return workspace.effective_work(of["staged"], of["mounted"], of["entries"])
+
+
+@query
+def checkin_plan(spark, sf_dir):
+    of = _session(spark, sf_dir)
+    stale = workspace.stale_observations(of["reads"], of["mounted"], of["entries"], of["staged"])
+    work = workspace.effective_work(of["staged"], of["mounted"], of["entries"])
+    return workspace.checkin_plan(of["requests"], of["mounted"], of["heads"], stale, work)
+
+
+@query
+def branch_plan(spark, sf_dir):
+    tried, heads, retired = _proposals(spark, sf_dir, False)
+    more = tried.select("seq", F.concat("ref", F.lit("/b"), (F.col("seq") % 7).cast("string")).alias("name")).unionByName(tried.select((-F.col("seq") - 1).alias("seq"), F.col("ref").alias("name")))
+    return workspace.branch_plan(more, heads, retired)
+
+
+@query
+def abandon_plan(spark, sf_dir):
+    of = store.relations(spark, sf_dir, "refs", "namespaces", "mounts")
+    forks = of["refs"].filter("name like 'forks/%'")
+    mounts = of["mounts"].unionByName(forks.filter("oid like '%7'").select(F.lit("n1").alias("ns_id"), F.lit("/f").alias("path"), F.concat(F.lit("ref:"), "name").alias("spec"), F.lit("ro").alias("mode"), F.lit(None).cast("string").alias("base_oid")))
+    asked = of["refs"].select("name").unionByName(forks.select(F.concat("name", F.lit("x")).alias("name")))
+    live = of["namespaces"].select("live_ref").unionByName(forks.filter("oid like '%3'").select(F.col("name").alias("live_ref")))
+    return workspace.abandon_plan(asked, of["refs"], live, mounts)
 
 
 def _staged(spark, sf_dir):
@@ -381,6 +419,17 @@ def lca(spark, sf_dir):
     return catalog.lca(pairs, graph.merge_bases(pairs, data.commits(spark, sf_dir)[1]))
 
 
+@query
+def tar_entries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("/d"), "doc_id").alias("path"), (F.col("n_chars") % 2 == 1).alias("exec"), F.octet_length("text").alias("size"))
+    return filesystem.tar_entries(docs)
+
+
+@query
+def object_layout(spark, sf_dir):
+    return filesystem.layout_audit(spark.sql(store.LAYOUT.format(sha="sha2", bits=", 256", documents="{d}"), d=table(spark, sf_dir, "documents")))
+
+
 @query
 def ledger_standing(spark, sf_dir):
     return catalog.ledger(store.relation(spark, sf_dir, "schema_migrations"))

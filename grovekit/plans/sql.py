@@ -166,12 +166,6 @@ union all select 'REFLOG_MISSING', name, null from refs where name not in (selec
 union all select 'REFLOG_ORPHAN', name, id from last where reason <> 'abandon' and name not in (select name from refs)
 union all select 'REFLOG_TERMINAL', name, id from last join refs using (name) where oid <> new_oid""",
     "retired_names": f"with {reflog_sql()} select name from reflog group by name having arg_max(reason, id) = 'abandon'",
-    "cas_batch": """with p as (select event_id as seq, concat('heads/', event_type, '/', user_id % 9) as ref, concat('u_', user_id) as agent, event_id % 5 <> 0 as fits from events),
-r as (select *, fits and row_number() over (partition by ref, fits order by seq) = 1 as won from p)
-select seq, ref, case when won then 'updated' else 'forked' end as outcome, case when won then ref else concat('forks/', ref, '/', agent, '/', seq) end as at from r""",
-    "stale_observations": f"""with {ORDERS}, now as (select path, case when k % 31 = 0 then sha256('changed') else status end as oid from reads where k % 29 <> 0),
-seen as (select *, case when k % 17 = 0 then 'absent' else 'blob' end as kind, case when k % 17 <> 0 then status end as oid from reads where k % 37 <> 0 and c % 41 <> 0)
-select ns, mount, path, kind, case when n.path is null then 'absent' else 'blob' end as now_kind from seen s left join now n using (path) where kind <> case when n.path is null then 'absent' else 'blob' end or s.oid is distinct from n.oid""",
     "stranded_mounts": f"with {ORDERS} select ns, mount, count(*) as n from reads where mount <> '/m0' and case when k % 5 = 0 then status else sha256('new') end <> status group by ns, mount",
     "catalog_orphans": f"""with {ORDERS}, ns as (select concat('c', c_custkey) as ns from customer where c_custkey % 19 <> 0), mounts as (select distinct ns, mount from reads where k % 23 <> 0), ov as (select * from reads), ob as (select * from reads)
 select distinct 'MOUNT_NAMESPACE' as code, concat(ns, ':', mount) as resource from mounts where ns not in (select ns from ns)

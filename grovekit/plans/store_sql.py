@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.datasets import COMMITS_SQL, PAIRS_SQL
-from ..sources.store import SPOILT, relations_sql
+from ..sources.store import EXPECTED, HEADS, LAYOUT, PROPOSALS, RETIRED, SESSIONS, SPOILT, relations_sql
 
 RELS = relations_sql()
 ID = "regexp_full_match({}, '[a-z][0-9]+')"
@@ -91,7 +91,36 @@ union select 'LANDMARK_KIND', concat('catalog:landmark:', oid) from landmarks wh
 union select 'SEAL_LANDMARK', concat('catalog:seal:', tag) from seals where not exists (select 1 from landmarks l where l.oid = snap_oid and l.kind = 'snapshot') or not exists (select 1 from landmarks l where l.oid = commit_oid and l.kind = 'commit')
 union select 'SCHEMA_LEDGER', 'catalog:schema_migrations' where (select list(version order by version) from schema_migrations) <> [1, 2, 3])"""
 
+def proposals(expected: str) -> str:
+    """Proposals with what rules say of them: `no` is why one is refused."""
+    return f"""p as ({PROPOSALS.format(events="events", expected=EXPECTED[expected])}), h as ({HEADS.format(events="events")}), gone as ({RETIRED.format(events="events")}),
+told as (select p.*, h.head, h.ref is not null as there, case when contains(p.ref, '..') or p.kind <> 'commit' and starts_with(p.ref, 'heads/') or p.kind <> 'snapshot' and starts_with(p.ref, 'tags/') then 'invalid' when h.ref is null and p.ref in (select name from gone) then 'retired'
+  when h.kind <> p.kind then 'invalid' when h.sealed then 'sealed' when h.protected and not p.allowed then 'denied' end as no from p left join h on h.ref = p.ref)"""
+
+
+AT = "case outcome when 'updated' then ref when 'forked' then concat('forks/', ref, '/', replace(agent, ':', '_'), '/', seq) end as at"
+SESSION = ", ".join(f"{n} as ({q.format(orders='orders')})" for n, q in SESSIONS.items()) + """,
+stale as (select r.ns, r.mount, r.path, r.kind, coalesce(e.kind, 'absent') as now_kind from reads r join mounted m on m.ns = r.ns and m.mount = r.mount left join entries e on e.tree = m.tree and e.path = r.path
+  where not exists (select 1 from staged s where s.ns = r.ns and s.mount = r.mount and (s.path = r.path or starts_with(r.path, concat(s.path, '/')))) and (r.kind <> coalesce(e.kind, 'absent') or r.oid is distinct from e.oid)),
+work as (select s.ns, s.mount, count(*) as n from staged s join mounted m on m.ns = s.ns and m.mount = s.mount left join entries e on e.tree = m.tree and e.path = s.path where s.id is distinct from e.oid group by s.ns, s.mount)"""
+
 SQL = {
+    "cas_batch": f"""with {proposals("batch")}, firsts as (select ref, min(seq) as first from told where no is null and (not there or expected = head) group by ref),
+judged as (select told.*, coalesce(no, case when seq = first then 'updated' else 'forked' end) as outcome from told left join firsts using (ref)) select seq, ref, outcome, {AT} from judged""",
+    "cas_chain": f"""with recursive {proposals("chained")}, won as (select ref, min(seq) as seq from told where no is null and (not there or expected = head) group by ref
+  union select w.ref, (select min(t.seq) from told t where t.no is null and t.ref = w.ref and t.seq > w.seq and t.expected = concat('c', w.seq)) from won w where w.seq is not null),
+judged as (select *, coalesce(no, case when seq in (select seq from won) then 'updated' else 'forked' end) as outcome from told) select seq, ref, outcome, {AT} from judged""",
+    "stale_observations": f"with {SESSION} select * from stale",
+    "effective_work": f"with {SESSION} select * from work",
+    "checkin_plan": f"""with {SESSION}, t as (select r.*, m.mode, m.ref, m.base = h.head as fits, case when m.mode is null then 'unknown' when m.mode <> 'rw' then 'readonly' when r.ns in (select ns from stale) then 'stale'
+  when w.n is null then case when r.ns in (select ns from work) then 'stranded' else 'noop' end end as b from requests r left join mounted m on m.ns = r.ns and m.mount = r.mount left join work w on w.ns = r.ns and w.mount = r.mount left join heads h on h.ref = m.ref),
+f as (select ref, min(seq) as first from t where b is null and fits group by ref) select seq, ns, mount, coalesce(b, case when seq = first then 'updated' else 'forked' end) as outcome from t left join f using (ref)""",
+    "branch_plan": f"""with {proposals("batch")}, r as (select seq, concat(ref, '/b', seq % 7) as name from p union all select -seq - 1, ref from p),
+j as (select *, case when contains(name, '..') or starts_with(name, 'tags/') then 'invalid' when name in (select ref from h) then 'exists' when name in (select name from gone) then 'retired' end as no from r)
+select seq, name, coalesce(no, case when row_number() over (partition by name, no order by seq) = 1 then 'created' else 'exists' end) as outcome from j""",
+    "abandon_plan": f"""with {RELS}, f as (select * from refs where starts_with(name, 'forks/')), asked as (select name from refs union select concat(name, 'x') from f),
+live as (select live_ref as name from namespaces where live_ref is not null union select name from f where oid like '%3'), held as (select case when starts_with(spec, 'ref:') then spec[5:] else spec end as name from mounts where not starts_with(spec, 'oid:') union select name from f where oid like '%7')
+select name, case when r.oid is null then 'unknown' when not starts_with(name, 'forks/') then 'notfork' when protected then 'protected' when sealed then 'sealed' when name in (select name from live) then 'live' when name in (select name from held) then 'mounted' else 'abandoned' end as outcome from asked left join refs r using (name)""",
     "edge_expansion": f"with {RELS}, {EDGES} select * from edges",
     "gc_roots": f"with {RELS}, {ROOTS} select * from roots",
     "gc_root_counts": f"""with {RELS} select (select count(*) from refs) as refs, (select count(*) from refs where starts_with(name, 'forks/')) as unresolved_forks, (select count(pinned_oid) from namespaces) as session_pins, (select count(live_ref) from namespaces) as session_live_refs,
@@ -107,5 +136,9 @@ common as (select distinct pair, x.node from pairs join up x on x.k = a join up
 above as (select pair, dst as node from common c join edges e on e.src = c.node union select b.pair, e.dst from above b join edges e on e.src = b.node),
 best as (select * from common where (pair, node) not in (select pair, node from above))
 select pair, case count(node) when 0 then 'none' when 1 then 'one' else 'several' end as outcome, case when count(node) = 1 then min(node) end as base from pairs left join best using (pair) group by pair""",
+    "tar_entries": """with f as (select concat(lang, '/', source, '/d', doc_id) as path, n_chars % 2 = 1 as exec, strlen(text) as size, lang, source from documents)
+select path, 'blob' as kind, case when exec then 493 else 420 end as mode, size from f union select lang, 'tree', 493, 0 from f union select concat(lang, '/', source), 'tree', 493, 0 from f""",
+    "object_layout": f"""with l as (select path, string_split(path, '/') as p from ({LAYOUT.format(sha="sha256", bits="", documents="documents")}) where starts_with(path, 'objects/'))
+select distinct case when len(p) <> 4 then 'OBJECT_LAYOUT' when not regexp_full_match(p[4], '[0-9a-f]{{64}}') then 'OBJECT_NAME' else 'OBJECT_SHARD' end as code, array_to_string(p[1:4], '/') as resource from l where len(p) <> 4 or not regexp_full_match(p[4], '[0-9a-f]{{64}}') or p[2] <> p[4][1:2] or p[3] <> p[4][3:4]""",
     "ledger_standing": f"with {RELS} select case when max(version) <> count(*) then 'damaged' when max(version) < 3 then 'needs-migration' when max(version) > 3 then 'newer' else 'current' end as verdict from schema_migrations",
 }

@@ -54,6 +54,24 @@ union all select concat('gone', u), '/', 'main', 'ro', null from {_U} where u %
     "object_intro": "select concat('b', doc_id) as oid, 'r0' as commit_oid from {documents} where doc_id % 11 = 3 union all select concat('b', doc_id), 'c1' from {documents} where doc_id % 11 = 4",
     "schema_migrations": "select distinct 1 + 2 * (event_id % 2) as version from {events}",
 }
+#: Proposals to move references, what they expect, and references as they stand.
+_REF = "concat('heads/', event_type, '/', user_id % 12)"
+PROPOSALS = f"select event_id as seq, ref, concat('u:', user_id) as agent, case when event_id % 31 = 4 then 'tree' else 'commit' end as kind, {{expected}} as expected, concat('c', event_id) as new, event_id % 4 = 1 as allowed from (select *, lag(event_id) over (partition by ref order by event_id) as p, lag(event_id, 2) over (partition by ref order by event_id) as q from (select *, case when event_id % 101 = 7 then concat('tags/', event_type) when event_id % 103 = 7 then 'heads/../x' else {_REF} end as ref from {{events}}) a) b"
+EXPECTED = {"batch": "case when event_id % 5 = 0 then 'old' when event_id % 7 <> 0 then 'h' end", "chained": "case when event_id % 3 = 0 and p is not null then concat('c', p) when event_id % 3 = 1 and q is not null then concat('c', q) when event_id % 2 = 0 then 'h' end"}
+HEADS = f"select distinct {_REF} as ref, 'h' as head, case when user_id % 12 = 8 then 'tree' else 'commit' end as kind, user_id % 12 = 6 as protected, user_id % 12 = 7 as sealed from {{events}} where user_id % 12 not in (4, 5, 9)"
+RETIRED = f"select distinct {_REF} as name from {{events}} where user_id % 12 = 5"
+#: Sessions over orders: three versions of a tree, mounts, reads, staged work, check-ins.
+_V = "(select 0 as v union all select 1 union all select 2) t"
+SESSIONS = {
+    "entries": f"select concat('T', v) as tree, concat('s', o_orderkey % 7, '/o', o_orderkey) as path, 'blob' as kind, case when (o_orderkey * (v + 1)) % 31 = 1 then concat('x', o_orderkey) else concat('o', o_orderkey) end as oid from {{orders}} cross join {_V} where (o_orderkey + v) % 29 <> 0 union all select distinct concat('T', v), concat('s', o_orderkey % 7), 'tree', concat('D', v, '-', case when o_orderkey % 7 < 3 then 0 else v end) from {{orders}} cross join {_V}",
+    "mounted": "select distinct concat('c', o_custkey) as ns, concat('/m', o_orderkey % 3) as mount, concat('T', o_custkey % 3) as tree, case when o_custkey % 6 = 5 then 'ro' else 'rw' end as mode, concat('heads/', o_custkey % 40) as ref, concat('b', o_custkey % 80) as base from {orders} where o_custkey % 41 <> 0",
+    "reads": "select concat('c', o_custkey) as ns, concat('/m', o_orderkey % 3) as mount, concat('s', o_orderkey % 7, case when o_orderkey % 19 = 3 then '' else concat('/o', o_orderkey) end) as path, case when o_orderkey % 19 = 3 then 'tree' when o_orderkey % 17 = 0 then 'absent' else 'blob' end as kind, case when o_orderkey % 19 = 3 then 'D0-0' when o_orderkey % 17 <> 0 then concat('o', o_orderkey) end as oid from {orders} where o_custkey % 5 <> 0",
+    "staged": "select concat('c', o_custkey) as ns, concat('/m', o_orderkey % 3) as mount, case when o_custkey % 53 = 1 then concat('s', o_orderkey % 7) else concat('s', o_orderkey % 7, '/o', o_orderkey) end as path, case when o_orderkey % 4 = 1 then concat('o', o_orderkey) when o_orderkey % 4 = 2 then concat('n', o_orderkey) end as id from {orders} where o_orderkey % 37 = 0 or o_custkey % 53 = 1 or o_custkey % 10 = 0",
+    "heads": "select distinct concat('heads/', o_custkey % 40) as ref, concat('b', o_custkey % 40) as head from {orders}",
+    "requests": "select 10 * o_custkey + k as seq, concat('c', o_custkey) as ns, concat('/m', k) as mount from (select distinct o_custkey from {orders}) c cross join (select 0 as k union all select 1 union all select 2 union all select 3) m",
+}
+#: Paths of stored objects, some where none should lie.
+LAYOUT = "select case when doc_id % 19 = 1 then concat('objects/f', doc_id) when doc_id % 19 = 2 then concat('objects/', a, '/', h) when doc_id % 19 = 3 then concat('objects/', a, '/', b, '/', h, '/more/', doc_id) when doc_id % 19 = 4 then concat('objects/', a, '/', b, '/', a, b, 'tmp') when doc_id % 19 = 5 then concat('objects/', b, '/zz/', h) when doc_id % 19 = 6 then concat('other/', doc_id) else concat('objects/', a, '/', b, '/', h) end as path from (select doc_id, h, substr(h, 1, 2) as a, substr(h, 3, 2) as b from (select doc_id, {sha}(concat('z', doc_id){bits}) as h from {documents}) x) y"
 #: What an id looks like here.
 OID = "^[a-z][0-9]+$"
 #: Objects that are gone, or of another kind than their edges say.

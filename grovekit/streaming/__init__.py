@@ -1 +1 @@
-"""grovekit subpackage."""
+"""Streams into the store."""

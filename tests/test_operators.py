@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovekit.functions import names, paths
-from grovekit.operators import authority, graph, history, merging, metrics, trees
+from grovekit.operators import authority, catalog, graph, history, merging, metrics, trees, workspace
 
 FILE = "path string, id string, exec boolean"
 
@@ -95,10 +95,40 @@ def test_closure_limit(spark):
         graph.closure(spark.createDataFrame([(0, 1)], "key long, node long"), edges, limit=2)
 
 
-def test_cas_chain(spark):
-    p = spark.createDataFrame([(1, "r", "h", "x"), (2, "r", "h", "y"), (3, "r", "x", "z")], "seq long, ref string, expected string, new string")
-    rows = history.cas_chain(p, spark.createDataFrame([("r", "h")], "ref string, head string")).collect()
-    assert {r.seq: r.outcome for r in rows} == {1: "updated", 2: "forked", 3: "updated"}
+REFS = "ref string, head string, kind string, protected boolean, sealed boolean"
+
+
+def cas_one_by_one(proposals, refs, retired):
+    heads, out = {r[0]: list(r[1:]) for r in refs}, {}
+    for seq, ref, agent, kind, expected, new, allowed in sorted(proposals):
+        if kind != "commit" and ref.startswith("heads/"):
+            out[seq] = "invalid"
+        elif ref not in heads:
+            out[seq] = "retired" if ref in retired else "updated"
+            if ref not in retired:
+                heads[ref] = [new, kind, False, False]
+        elif heads[ref][1] != kind:
+            out[seq] = "invalid"
+        elif heads[ref][3]:
+            out[seq] = "sealed"
+        elif heads[ref][2] and not allowed:
+            out[seq] = "denied"
+        elif heads[ref][0] == expected:
+            out[seq], heads[ref][0] = "updated", new
+        else:
+            out[seq] = "forked"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cas_chain(spark, seed):
+    rnd = random.Random(seed)
+    names = ["heads/a", "heads/b", "heads/c", "odd/x", "odd/y", "heads/gone"]
+    refs = [("heads/a", "v0", "commit", False, False), ("heads/b", "v1", "commit", True, False), ("heads/c", "v0", "commit", False, True)]
+    proposals = [(i, rnd.choice(names), "u 1", rnd.choice(["commit", "commit", "commit", "tree"]), rnd.choice([None, "v0", "v1", "v2"]), rnd.choice(["v0", "v1", "v2", "v3"]), rnd.random() < 0.5) for i in range(150)]
+    rows = workspace.cas_chain(spark.createDataFrame(proposals, "seq long, ref string, agent string, kind string, expected string, new string, allowed boolean"), spark.createDataFrame(refs, REFS), spark.createDataFrame([("heads/gone",)], "name string")).collect()
+    assert {r.seq: r.outcome for r in rows} == cas_one_by_one(proposals, refs, {"heads/gone"})
+    assert all((r["at"] == r.ref) == (r.outcome == "updated") for r in rows) and any(r["at"] == f"forks/{r.ref}/u_1/{r.seq}" for r in rows)
 
 
 def test_percentiles(spark):
@@ -160,3 +190,89 @@ def test_heads_of_all_conversations(spark, tmp_path):
     }
     for name, rows in want.items():
         assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect())) == sorted(rows)
+
+
+def test_import_and_export(spark, tmp_path):
+    import hashlib
+    import tarfile
+
+    from grovekit.sources import filesystem
+
+    root = tmp_path / "in"
+    texts = {"a.txt": b"one", "a/x": b"", "b/c/d é.bin": bytes(range(256)), "z%20q": b"two"}
+    for path, content in {**texts, ".git/skip": b"no"}.items():
+        if path == "a.txt" or path != "a/x":
+            (root / path).parent.mkdir(parents=True, exist_ok=True)
+            (root / path).write_bytes(content)
+    (root / "a").mkdir(exist_ok=True)
+    (root / "a/x").write_bytes(b"")
+    modes = spark.createDataFrame([("a.txt", 0o100), ("z%20q", 0o644)], "path string, mode int")
+    files = filesystem.scan(spark, str(root), modes)
+    assert {r.path: (bytes(r.content), r.id, r.exec, r.size) for r in files.collect()} == {p: (c, hashlib.sha256(c).hexdigest(), p == "a.txt", len(c)) for p, c in texts.items()}
+    assert filesystem.write_tar(files, str(tmp_path / "o.tar")) == len(texts) + 3
+    with tarfile.open(tmp_path / "o.tar") as tar:
+        held = [(m.name, m.isdir(), m.mode, m.mtime, tar.extractfile(m).read() if m.isfile() else None) for m in tar]
+    assert [h[0] for h in held] == ["a", "a/x", "a.txt", "b", "b/c", "b/c/d é.bin", "z%20q"]
+    assert all(h[3] == 0 and (h[1] or h[4] == texts[h[0]]) and h[2] == (0o755 if h[1] or h[0] == "a.txt" else 0o644) for h in held)
+    filesystem.write_tar(files.repartition(3), str(tmp_path / "p.tar"))
+    assert (tmp_path / "o.tar").read_bytes() == (tmp_path / "p.tar").read_bytes()
+    (root / "b/_kept").write_bytes(b"yes")
+    with pytest.raises(ValueError):
+        filesystem.scan(spark, str(root))
+
+
+def test_put_stream(spark, tmp_path):
+    from grovekit.streaming import blobs
+
+    where, schema = str(tmp_path / "in"), "content binary, agent string, seq long"
+    batches = [[(b"a", "x", 2), (b"a", "y", 1), (b"b", "x", 3)], [(b"a", "z", 4), (b"c", "z", 5), (b"c", "y", 6)]]
+    for n, rows in enumerate([*batches, []]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where)
+        query = blobs.put_stream(spark.readStream.schema(schema).parquet(where), str(tmp_path / "store"), str(tmp_path / "check"), once=True)
+        query.awaitTermination()
+        assert query.exception() is None
+        got = sorted((r.first_seq, r.first_agent, r.size) for r in blobs.stored(spark, str(tmp_path / "store")).collect())
+        assert got == ([(1, "y", 1), (3, "x", 1)] if n == 0 else [(1, "y", 1), (3, "x", 1), (5, "z", 1)])
+
+
+def test_gc_fails_closed(spark):
+    from grovekit.sources import store
+
+    empty = {n: spark.sql(q, events=spark.createDataFrame([], "event_id long, user_id long, event_type string"), documents=spark.createDataFrame([], "doc_id long, n_chars long")) for n, q in store.RELATIONS.items()}
+    empty = {n: df.limit(0) for n, df in empty.items()}
+    refs = spark.createDataFrame([("heads/a", "c1", "commit", False, False)], empty["refs"].schema)
+    commits = spark.createDataFrame([("c1", "t1", None)], empty["commits"].schema)
+    have = lambda *ids: spark.createDataFrame([(i, k, 1, 1) for i, k in ids], "oid string, kind string, size long, age long")
+    of = empty | {"refs": refs, "commits": commits}
+    assert {r.node for r in catalog.live_objects(of | {"objects": have(("c1", "commit"), ("t1", "tree"))}, store.OID).collect()} == {"c1", "t1"}
+    with pytest.raises(ValueError):
+        catalog.live_objects(of | {"objects": have(("c1", "commit"))}, store.OID)
+    with pytest.raises(ValueError):
+        catalog.gc_roots(of | {"observations": spark.createDataFrame([("n", "/", "p", "odd", "b1")], empty["observations"].schema)}, store.OID)
+    with pytest.raises(ValueError):
+        catalog.sweep(have(), refs.select(F.col("oid").alias("node")), catalog.typed_edges(of), 59)
+    for versions, verdict in (([], "damaged"), ([1, 3], "damaged"), ([1, 1, 2], "damaged"), ([1, 2], "needs-migration"), ([1, 2, 3], "current"), ([1, 2, 3, 4], "newer")):
+        assert catalog.ledger(spark.createDataFrame([(v,) for v in versions], "version long")).first().verdict == verdict
+    found = {r.code for r in catalog.fsck(of | {"objects": have(("c1", "tree")), "commits": commits}, store.OID).collect()}
+    assert found == {"TYPE_MISMATCH", "OBJECT_READ", "REFLOG_MISSING", "SCHEMA_LEDGER"}
+
+
+def test_suppressed_count_without_visible_names(spark):
+    names_ = spark.createDataFrame([("heads/a",), ("heads/b",)], "name string")
+    rows = authority.visible(names_, authority.parse(["ops=read", "ref=tags/*"]), F.lit("read"), F.lit(1)).collect()
+    assert [(r.name, r.suppressed) for r in rows] == [(None, 2)]
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(45)] + [(45, 0), (7, 30), (50, 51)], "src long, dst long")
+    rows = graph.closure(spark.createDataFrame([(0, 0), (1, 40), (1, 40), (2, None), (3, 99)], "key long, node long"), edges).collect()
+    assert {(r.key, r.node) for r in rows} == {(0, i) for i in range(46)} | {(1, i) for i in range(46)} | {(3, 99)} and len(rows) == 93
+
+
+def test_ranks_of_ties(spark):
+    df = spark.createDataFrame([("t", 5.0)] * 900 + [("t", float(i)) for i in range(100)] + [(None, 1.0), ("e", None)], "g string, v double")
+    got = {r.g: r for r in metrics.percentiles(df, "g", "v").collect()}
+    values = sorted([5.0] * 900 + [float(i) for i in range(100)])
+    at = lambda p: values[int((len(values) - 1) * p + 0.5)]
+    assert (got["t"].n, got["t"]["sum"], got["t"].p50, got["t"].p95, got["t"].p99, got["t"].max) == (1000, sum(values), at(0.5), at(0.95), at(0.99), 99.0)
+    assert got[None].p50 == 1.0 and (got["e"].n, got["e"].p50, got["e"].max) == (0, 0.0, 0.0)
