@@ -30,8 +30,8 @@ SHORT = 32
 CHUNK, PIECE = 1 << 20, 4096
 #: Bytes of pieces from which a transform is due.
 DUE = 1 << 19
-#: Different pieces of one key that meet in one task, and their bytes; beyond either the key is dealt again.
-MEET, MEET_BYTES = 1500, 1 << 20
+#: Bytes of the different pieces of one key that meet in one task; beyond them the key is dealt again.
+MEET = 1 << 21
 #: Starts of a piece when dealt again: up to 16 that share all but 15 bytes, then one.
 FINER = (16, 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -325,17 +325,16 @@ class _Search:
         for starts in (0, *FINER):
             table = written(self.places(texts, starts), "substring-places")
             size = F.col("count").cast("long") + (self.length - 1)
-            keys = table.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.sum(size).alias("bytes"), F.min("body").alias("a"), F.max("body").alias("b"), F.max("times").alias("most")).filter("times > 1")
+            keys = table.groupBy("key").agg(F.sum("times").alias("times"), F.sum(size).alias("bytes"), F.min("body").alias("a"), F.max("body").alias("b"), F.max("times").alias("most")).filter("times > 1")
             # one piece, several times, with no string twice in it: covered whole. Else a transform tells
-            fits = lambda n, bytes_: (F.col(n) <= MEET) & (F.col(bytes_) <= MEET_BYTES)
-            kind = F.when((F.col("a") == F.col("b")) & (F.col("most") == 1), 0).when(fits("n", "bytes"), 1).otherwise(2)
+            kind = F.when((F.col("a") == F.col("b")) & (F.col("most") == 1), 0).when(F.col("bytes") <= MEET, 1).otherwise(2)
             # written, so that both sides of the join are plain exchanges, whose hot keys are split
             keys = written(keys.select("key", kind.alias("kind")), "substring-keys")
             own = written(table.drop("times").join(keys, "key"), "substring-twice")
             drop(table, keys)
             found.append(own.filter("kind = 0").select("id", "hash", F.col("start").alias("a"), (F.col("start") + F.col("count") + (self.length - 1)).alias("b")))
-            many = own.filter("kind = 2").groupBy("key", "body").agg(F.max(size).alias("bytes")).groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-            hot = checkpoint(many.filter(~fits("n", "bytes") & F.lit(starts != 1)).select("key", F.lit(True).alias("hot")))
+            many = own.filter("kind = 2").groupBy("key", "body").agg(F.max(size).alias("bytes")).groupBy("key").agg(F.sum("bytes").alias("bytes"))
+            hot = checkpoint(many.filter((F.col("bytes") > MEET) & F.lit(starts != 1)).select("key", F.lit(True).alias("hot")))
             deeper = not hot.isEmpty()
             if deeper:
                 own = own.join(hot, "key", "left").withColumn("kind", F.when(F.col("kind") == 0, 0).when(F.col("hot"), 2).otherwise(1))
