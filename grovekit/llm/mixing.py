@@ -53,9 +53,8 @@ def source_rates(docs: DataFrame, size: str, source: str = "source", weights: tu
     each = each.withColumn("w", weight).drop("at").withColumn("cap", (most * F.col("source_size")).cast("double"))
     order = [F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source")]
     each = _ranged(each, order, {"stopped": F.col("cap"), "gone": F.col("w")})
-    totals = each.agg(F.sum("source_size").alias("all"), F.sum("w").alias("weights"))
-    level = (F.col("all") - F.col("stopped")) / (F.col("weights") - F.col("gone"))
-    told = each.join(F.broadcast(totals)).withColumn("level", level)  # one row
+    everything, weights_ = each.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("w"), F.lit(0.0))).first()  # two numbers
+    told = each.withColumn("level", (F.lit(everything) - F.col("stopped")) / (F.lit(weights_) - F.col("gone")))
     found = told.filter(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct(order[0].alias("o"), "level")).alias("l")).first().l
     level = F.lit(float(found.level) if found else 0.0)
     return each.select("source", "source_size", F.least(F.col("w") * level, F.col("cap")).alias("target"))
