@@ -87,8 +87,11 @@ def visible(names: DataFrame, cap: Cap, op: Column, now: Column) -> DataFrame:
     If it hides all of them there is one row, with a null name.
     """
     rows = names.withColumn("ok", F.coalesce(allows(cap, op, F.col("name"), now), F.lit(False)))
-    hidden = rows.agg(F.count_if(~F.col("ok")).alias("suppressed"))  # one row
-    return hidden.join(rows.filter("ok").select("name"), F.lit(True), "left").select("name", "suppressed").orderBy("name")
+    seen, hidden = rows.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+    out = rows.filter("ok").select("name")
+    if not seen and hidden:
+        out = rows.sparkSession.createDataFrame([(None,)], "name string")
+    return out.select("name", F.lit(hidden).cast("long").alias("suppressed")).orderBy("name")
 
 
 def chain(key: bytes, caveats: list[str]) -> bytes:

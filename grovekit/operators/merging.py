@@ -92,12 +92,13 @@ def rename_conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> Dat
 
     Only where the three trees differ from one another.
     """
-    roots = _aligned(a=ours, b=theirs, g=base).filter("path = ''").filter("a <> b and a <> g and b <> g").select(F.lit(1).alias("differ"))
+    roots = _aligned(a=ours, b=theirs, g=base).filter("path = ''").filter("a <> b and a <> g and b <> g")
+    differ = not roots.isEmpty()
     left, right = frontier(base, ours), frontier(base, theirs)
     gone = left.filter("change = 'deleted'").select("path", "id").join(right.filter("change = 'deleted'").select("path"), "path", "left_semi")
     to = lambda x, n: exact_renames(base, x).toDF("path", n)
     rows = gone.join(to(left, "x"), "path", "left").join(to(right, "y"), "path", "left")
-    rows = rows.filter("(x is not null or y is not null) and not coalesce(x = y, false)").join(F.broadcast(roots))  # one row at most
+    rows = rows.filter(F.lit(differ)).filter("(x is not null or y is not null) and not coalesce(x = y, false)")
     none = F.lit(None).cast("string")
     return rows.select("path", none.alias("a"), none.alias("b"), F.col("id").alias("base"))
 

@@ -55,9 +55,9 @@ def medians(df: DataFrame, group: str, value: str) -> DataFrame:
 def shares(df: DataFrame, group: str) -> DataFrame:
     """(group, n, share): rows of each group, and their share of all in per cent to one decimal, as text."""
     counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("whole"))  # one row
+    whole = counts.agg(F.sum("n")).first()[0] or 0
     tenths = F.expr("(n * 1000 + whole div 2) div whole")
-    return counts.join(F.broadcast(whole)).select(group, "n", F.when(F.col("whole") == 0, "n/a").otherwise(F.concat(F.expr("((n * 1000 + whole div 2) div whole) div 10"), F.lit("."), tenths % 10)).alias("share"))
+    return counts.withColumn("whole", F.lit(whole).cast("long")).select(group, "n", F.when(F.col("whole") == 0, "n/a").otherwise(F.concat(F.expr("((n * 1000 + whole div 2) div whole) div 10"), F.lit("."), tenths % 10)).alias("share"))
 
 
 def saturating_delta(after, before):
