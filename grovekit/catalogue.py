@@ -364,7 +364,7 @@ def event_shares(spark, sf_dir):
 @query
 def w6_tree(spark, sf_dir):
     i = F.col("id")
-    return spark.range(10_000).select(F.format_string("/d%04d/f%04d.txt", F.floor(i / 1000), i % 1000).alias("path"), i.alias("n"))
+    return spark.range(table(spark, sf_dir, "events").count()).select(F.format_string("/d%04d/f%04d.txt", F.floor(i / 1000), i % 1000).alias("path"), i.alias("n"))
 
 
 OBJECTS = ("tree_entry", "commits", "commit_parent", "contributions", "contribution_parent", "contribution_read", "snapshots", "conflicts", "conflict_base", "conflict_causal", "conflict_path", "objects")

@@ -178,6 +178,6 @@ union all select distinct 'SEAL_TAG_REF', concat('tags/v', s_suppkey) from suppl
     "latency_percentiles": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as pos, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(n) as n, round(sum(value), 6) as sum, " + ", ".join(f"max(value) filter (pos = {ROUND.format(p=p)}) as p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + ", max(value) as max from r group by event_type",
     "latency_medians": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as pos, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(value) filter (pos = n // 2 + 1) as upper_median, max(value) filter (pos = (n - 1) // 2 + 1) as median_low from r group by event_type",
     "event_shares": "with r as (select event_type, count(*) as n, (select count(*) from events) as whole from events group by event_type) select event_type, n, concat(((n * 1000 + whole // 2) // whole) // 10, '.', ((n * 1000 + whole // 2) // whole) % 10) as share from r",
-    "w6_tree": "select format('/d{:04d}/f{:04d}.txt', range // 1000, range % 1000) as path, range as n from range(10000)",
+    "w6_tree": "select format('/d{:04d}/f{:04d}.txt', range // 1000, range % 1000) as path, range as n from range((select count(*) from events))",
 }
 SQL |= store_sql.SQL
