@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import authority, catalog, graph, history, merging, metrics, trees, workspace
+from .operators import authority, catalog, graph, history, merging, metrics, sessions, trees, workspace
 from .plans import sql
 from .sources import datasets as data
 from .sources import filesystem, store
@@ -316,6 +316,95 @@ def abandon_plan(spark, sf_dir):
     return workspace.abandon_plan(asked, of["refs"], live, mounts)
 
 
+def _catalog(spark, sf_dir, *names):
+    of = store.relations(spark, sf_dir, *names)
+    return of | {"objects": store.spoilt(of["objects"])} if "objects" in of else of
+
+
+def _asked(spark, sf_dir, name, **more):
+    return store.asked(spark, name, events=table(spark, sf_dir, "events"), orders=table(spark, sf_dir, "orders"), **more)
+
+
+@query
+def spec_peel(spark, sf_dir):
+    of = store.relations(spark, sf_dir, "refs", "objects", "mounts", "snapshots")
+    return sessions.peel(_asked(spark, sf_dir, "specs", refs=of["refs"], objects=of["objects"], mounts=of["mounts"]), of["refs"], store.spoilt(of["objects"]), of["snapshots"], store.OID)
+
+
+@query
+def session_open(spark, sf_dir):
+    return sessions.session_open(_asked(spark, sf_dir, "opens"), **_catalog(spark, sf_dir, "refs", "objects", "snapshots"), oid=store.OID)
+
+
+@query
+def mount_plan(spark, sf_dir):
+    return sessions.mount_plan(_asked(spark, sf_dir, "mountings"), **_catalog(spark, sf_dir, "namespaces", "mounts", "refs", "objects", "overlay"), oid=store.OID)
+
+
+@query
+def abandon_sessions(spark, sf_dir):
+    return sessions.abandon_sessions(_asked(spark, sf_dir, "endings"), **_catalog(spark, sf_dir, "namespaces", "mounts", "overlay", "observations"))
+
+
+def _renames(spark, sf_dir):
+    return sessions.rename_plan(*[_asked(spark, sf_dir, n) if n else _session(spark, sf_dir)["mounted"] for n in ("renames", None, "nested", "work")])
+
+
+@query
+def rename_plan(spark, sf_dir):
+    return _renames(spark, sf_dir)[0]
+
+
+@query
+def rename_rows(spark, sf_dir):
+    return _renames(spark, sf_dir)[1]
+
+
+@query
+def landmark_plan(spark, sf_dir):
+    of = store.relations(spark, sf_dir, "objects", "landmarks")
+    return sessions.landmark_plan(of["objects"], store.spoilt(of["objects"]), of["landmarks"])
+
+
+@query
+def inbox_push(spark, sf_dir):
+    return sessions.inbox_push(_asked(spark, sf_dir, "pushes"), retired=_asked(spark, sf_dir, "left"), **_catalog(spark, sf_dir, "refs", "objects"), oid=store.OID)
+
+
+@query
+def receipts(spark, sf_dir):
+    of = _catalog(spark, sf_dir, "commits", "commit_parent", "contributions", "contribution_parent", "contribution_read", "objects")
+    for n, agent in store.AGENTS.items():
+        of[n] = of[n].withColumn("agent", F.expr(agent))
+    of["contributions"] = of["contributions"].withColumn("tree", F.expr(store.OTHER["contributions"]))
+    return sessions.receipts(**of)
+
+
+@query
+def verify_tags(spark, sf_dir):
+    of = store.relations(spark, sf_dir, "refs", "seals", "snapshots", "commits")
+    for n in ("snapshots", "commits"):
+        of[n] = of[n].withColumn("tree", F.expr(store.OTHER[n]))
+    tags = of["seals"].select("tag").unionByName(of["refs"].filter("name like 'tags/%'").selectExpr("substr(name, 6) as tag"))
+    return sessions.verify_tags(tags, **of)
+
+
+@query
+def seal_plan(spark, sf_dir):
+    return sessions.seal_plan(_asked(spark, sf_dir, "seals_asked"), **_catalog(spark, sf_dir, "refs", "objects"))
+
+
+@query
+def migrate_mounts(spark, sf_dir):
+    of = store.relations(spark, sf_dir, "mounts", "namespaces", "refs")
+    return sessions.migrate_mounts(of["mounts"].withColumn("base_oid", F.expr(store.UNPINNED)), of["namespaces"], of["refs"])
+
+
+@query
+def migrate_observations(spark, sf_dir):
+    return sessions.migrate_observations(store.relation(spark, sf_dir, "observations").filter("oid is not null").drop("kind"))
+
+
 def _staged(spark, sf_dir):
     o, ns, mount, path = _reads(spark, sf_dir)
     return o.select(ns, mount, path, F.sha2(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).otherwise(F.lit("new")), 256).alias("id"))

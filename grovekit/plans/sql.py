@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import store_sql
+from . import session_sql, store_sql
 from ..sources.datasets import COMMITS_SQL, PAIRS_SQL, files_sql, objects_sql, reflog_sql
 
 MOUNTS = ("/", "/en", "/fr", "/de", "/fr/825", "/en/25", "/es/533", "/e")
@@ -180,4 +180,4 @@ union all select distinct 'SEAL_TAG_REF', concat('tags/v', s_suppkey) from suppl
     "event_shares": "with r as (select event_type, count(*) as n, (select count(*) from events) as whole from events group by event_type) select event_type, n, concat(((n * 1000 + whole // 2) // whole) // 10, '.', ((n * 1000 + whole // 2) // whole) % 10) as share from r",
     "w6_tree": "select format('/d{:04d}/f{:04d}.txt', range // 1000, range % 1000) as path, range as n from range((select count(*) from events))",
 }
-SQL |= store_sql.SQL
+SQL |= store_sql.SQL | session_sql.SQL

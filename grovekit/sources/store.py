@@ -70,6 +70,27 @@ SESSIONS = {
     "heads": "select distinct concat('heads/', o_custkey % 40) as ref, concat('b', o_custkey % 40) as head from {orders}",
     "requests": "select 10 * o_custkey + k as seq, concat('c', o_custkey) as ns, concat('/m', k) as mount from (select distinct o_custkey from {orders}) c cross join (select 0 as k union all select 1 union all select 2 union all select 3) m",
 }
+#: Requests of sessions. Some name what isn't there, or what may not be.
+_DIR, _FILE = "concat('s', o_orderkey % 7, '/p', cast(floor(o_orderkey / 50) as bigint))", "concat('s', o_orderkey % 7, '/p', cast(floor(o_orderkey / 50) as bigint), '/o', o_orderkey)"
+_NEXT = "concat('s', (o_orderkey + 50) % 7, '/p', cast(floor((o_orderkey + 50) / 50) as bigint))"
+_PLACE = "concat('c', o_custkey) as ns, concat('/m', o_orderkey % 3) as mount"
+REQUESTS = {
+    "specs": "select name as spec from {refs} union select concat('ref:', name, case when oid like '%5' then 'x' else '' end) from {refs} union select concat('oid:', oid) from {objects} union select spec from {mounts} union select concat('oid:', substr(oid, 2)) from {refs}",
+    "opens": "select event_id as seq, concat('u:', user_id) as agent, case event_id % 8 when 0 then concat('oid:c', event_id) when 1 then concat('tags/v', event_id) when 2 then 'oid:??' when 3 then concat('heads/agents/u', user_id, '/main') when 4 then concat('oid:s', event_id) when 5 then concat('oid:b', event_id % 100) when 6 then 'main' else concat('ref:forks/main/u', user_id, '/', event_id) end as spec from {events}",
+    "mountings": "select event_id as seq, concat(case when event_id % 83 = 2 then 'gone' else 'n' end, user_id) as ns_id, case event_id % 5 when 0 then '/' when 1 then '/raw' when 2 then '/x/../y' when 3 then 'main/' else '/main' end as path, case event_id % 9 when 0 then concat('oid:c', event_id) when 1 then 'main' when 2 then concat('heads/agents/u', user_id, '/main') when 3 then concat('ref:heads/agents/u', user_id, '/main') when 4 then 'oid:??' when 5 then concat('tags/v', 40 * (event_id % 9) + 7) when 6 then concat('forks/main/u', user_id, '/', event_id) when 7 then 'heads/gone' else 'conflicts/main/11' end as spec, case when event_id % 4 = 0 then 'ro' else 'rw' end as mode from {events}",
+    "endings": "select concat(case when event_id % 10 = 9 then 'gone' else 'n' end, user_id) as ns_id, event_id % 11 = 3 as discard from {events}",
+    "pushes": "select event_id as seq, concat('u:', user_id) as agent, case event_id % 9 when 0 then 'a b' when 1 then 'anon' else concat('u', user_id) end as recipient, case when event_id % 40 = 7 then concat('oid:s', event_id) when event_id % 7 = 0 then concat('oid:c', event_id) when event_id % 7 = 1 then 'tags/none' else 'tags/v7' end as spec, case when event_id % 13 = 0 then 'no task' when event_id % 80 = 7 then concat('t', event_id) else concat('t', event_id % 6) end as task from {events}",
+    "left": "select distinct concat('inbox/u', user_id, '/t4') as name from {events} where user_id % 3 = 0",
+    "seals_asked": "select event_id as seq, concat('heads/agents/u', user_id, case when event_id % 37 = 1 then '/gone' else '/main' end) as ref, case when event_id % 9 = 0 then 'bad tag' when event_id % 40 = 7 then concat('v', event_id) else concat('r', event_id % 50) end as tag, case when event_id % 31 = 2 then concat('b', event_id % 100) else concat('c', case when event_id % 4 = 0 then event_id else max(event_id) over (partition by user_id) end) end as expected from {events}",
+    "nested": f"select concat('T', v) as tree, {_FILE} as path, 'blob' as kind, concat('o', o_orderkey) as oid from {{orders}} cross join {_V} where (o_orderkey + v) % 29 <> 0 union all select distinct concat('T', v), {_DIR}, 'tree', concat('D', v) from {{orders}} cross join {_V} union all select distinct concat('T', v), concat('s', o_orderkey % 7), 'tree', 'S' from {{orders}} cross join {_V}",
+    "work": f"select ns, mount, path, min(id) as id from (select {_PLACE}, case when o_orderkey % 11 = 3 then {_DIR} else {_FILE} end as path, case when o_orderkey % 4 <> 3 then concat('n', o_orderkey) end as id from {{orders}} where o_orderkey % 5 = 0) w group by ns, mount, path",
+    "renames": f"""select o_orderkey as seq, {_PLACE}, case when o_orderkey % 41 = 0 then '' when o_orderkey % 10 = 0 then {_NEXT} when o_orderkey % 3 = 0 then {_DIR} when o_orderkey % 7 = 1 then 'nowhere' when o_orderkey % 13 = 2 then concat({_FILE}, '/in') else {_FILE} end as `from`,
+case when o_orderkey % 17 = 0 then {_FILE} when o_orderkey % 19 = 0 or o_orderkey % 20 = 0 then concat({_FILE}, '/z') when o_orderkey % 23 = 0 then concat('s', o_orderkey % 7) else concat('moved/m', o_orderkey) end as `to` from {{orders}}""",
+}
+#: What the tables say otherwise, to be found out.
+AGENTS = {"commits": "case when oid like '%31' then 'odd' else 'a' end", "contributions": "case when oid like '%52' then 'odd' else 'a' end"}
+OTHER = {"contributions": "case when oid like '%63' then 't0' else tree end", "snapshots": "case when oid like '%27' then 't0' else tree end", "commits": "case when oid like '%367' then 't1' else tree end"}
+UNPINNED = "case when base_oid like '%1' then base_oid end"
 #: Paths of stored objects, some where none should lie.
 LAYOUT = "select case when doc_id % 19 = 1 then concat('objects/f', doc_id) when doc_id % 19 = 2 then concat('objects/', a, '/', h) when doc_id % 19 = 3 then concat('objects/', a, '/', b, '/', h, '/more/', doc_id) when doc_id % 19 = 4 then concat('objects/', a, '/', b, '/', a, b, 'tmp') when doc_id % 19 = 5 then concat('objects/', b, '/zz/', h) when doc_id % 19 = 6 then concat('other/', doc_id) else concat('objects/', a, '/', b, '/', h) end as path from (select doc_id, h, substr(h, 1, 2) as a, substr(h, 3, 2) as b from (select doc_id, {sha}(concat('z', doc_id){bits}) as h from {documents}) x) y"
 #: What an id looks like here.
@@ -93,3 +114,11 @@ def spoilt(objects: DataFrame) -> DataFrame:
 def relations_sql(*names: str) -> str:
     """The same as common table expressions of DuckDB."""
     return ",\n".join(f"{n} as ({RELATIONS[n].format(events='events', documents='documents')})" for n in names or RELATIONS)
+
+
+def asked(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    return spark.sql(REQUESTS[name], **{t: df for t, df in tables.items() if f"{{{t}}}" in REQUESTS[name]})
+
+
+def asked_sql(*names: str) -> str:
+    return ",\n".join(f"{n} as ({REQUESTS[n].replace('`', chr(34)).format(events='events', orders='orders', refs='refs', objects='objects', mounts='mounts')})" for n in names)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovekit.functions import names, paths
-from grovekit.operators import authority, catalog, graph, history, merging, metrics, trees, workspace
+from grovekit.operators import authority, catalog, graph, history, merging, metrics, sessions, trees, workspace
 
 FILE = "path string, id string, exec boolean"
 
@@ -276,3 +276,33 @@ def test_ranks_of_ties(spark):
     at = lambda p: values[int((len(values) - 1) * p + 0.5)]
     assert (got["t"].n, got["t"]["sum"], got["t"].p50, got["t"].p95, got["t"].p99, got["t"].max) == (1000, sum(values), at(0.5), at(0.95), at(0.99), 99.0)
     assert got[None].p50 == 1.0 and (got["e"].n, got["e"].p50, got["e"].max) == (0, 0.0, 0.0)
+
+
+def test_sessions_on_odd_rows(spark):
+    refs = spark.createDataFrame([("main", "c1", "commit", True, False), ("tags/v", "s1", "snapshot", True, True)], "name string, oid string, kind string, protected boolean, sealed boolean")
+    objects = spark.createDataFrame([("c1", "commit"), ("c1", "commit"), ("s1", "snapshot"), ("b1", "blob")], "oid string, kind string")
+    snapshots = spark.createDataFrame([("s1", "c1", 9)], "oid string, commit string, spec int")
+    specs = spark.createDataFrame([("main",), ("main",), ("ref:tags/v",), ("oid:b1",), ("oid:c9",), ("oid:",), ("",), (None,), ("no",)], "spec string")
+    got = {r.spec: (r.state, r.commit) for r in sessions.peel(specs, refs, objects, snapshots, "^[a-z][0-9]+$").collect()}
+    assert got == {"main": ("ok", "c1"), "ref:tags/v": ("ok", "c1"), "oid:b1": ("notcommit", None), "oid:c9": ("missing", None), "oid:": ("invalid", None), "": ("invalid", None), None: ("invalid", None), "no": ("notfound", None)}
+    assert sessions.peel(specs.limit(0), refs, objects, snapshots).isEmpty()
+    asked = spark.createDataFrame([(1, "n", "/", "main", "rw"), (2, "n", "/", "main", "ro"), (3, None, "/", "main", "ro"), (4, "n", None, "main", "ro"), (5, "n", "a//b", "main", "ro")], "seq int, ns_id string, path string, spec string, mode string")
+    spaces = spark.createDataFrame([("n",)], "id string")
+    mounts = spark.createDataFrame([("n", "/", "other", "rw")], "ns_id string, path string, spec string, mode string")
+    none = spark.createDataFrame([], "ns_id string, mount string")
+    work = spark.createDataFrame([("n", "/")], "ns_id string, mount string")
+    plan = lambda staged: {r.seq: r.outcome for r in sessions.mount_plan(asked, spaces, mounts, refs, objects, staged, "^[a-z][0-9]+$").collect()}
+    assert plan(none) == {1: "denied", 2: "mounted", 3: "unknown", 4: "invalid", 5: "invalid"}
+    assert plan(work)[2] == "staged"
+
+
+def test_rename_moves_trees_with_staged_work(spark):
+    mounts = spark.createDataFrame([("n", "/", "T", "rw")], "ns string, mount string, tree string, mode string")
+    entries = spark.createDataFrame([("T", "a", "tree", "A"), ("T", "a/x", "blob", "1"), ("T", "a/d", "tree", "D"), ("T", "a/d/y", "blob", "2"), ("T", "a/d/z", "blob", "3"), ("T", "ab", "blob", "4")], "tree string, path string, kind string, oid string")
+    overlay = spark.createDataFrame([("n", "/", "a/d", None), ("n", "/", "a/x", "9"), ("n", "/", "a/new/w", "8"), ("n", "/", "up", "7")], "ns string, mount string, path string, id string")
+    asks = [(1, "a", "b"), (2, "ab", "a/q"), (3, "a/d", "c"), (4, "a/d/y", "c"), (5, "up/in", "c"), (6, "a", "up/q"), (7, "up", "new"), (8, "a", "a"), (9, "a", "a/k"), (10, "a/x", "a"), (11, None, "b")]
+    told, rows = sessions.rename_plan(spark.createDataFrame([(s, "n", "/", a, b) for s, a, b in asks], "seq int, ns string, mount string, from string, to string"), mounts, entries, overlay)
+    got = {r.seq: (r.outcome, r.kind, r.entries) for r in told.collect()}
+    assert got[1] == ("renamed", "tree", 2) and got[2] == ("renamed", "blob", 1) and got[7] == ("renamed", "blob", 1)
+    assert [got[i][0] for i in (3, 4, 5, 6, 8, 9, 10, 11)] == ["notfound", "notfound", "invalid", "conflict", "same", "inside", "above", "notfound"]
+    assert sorted((r.path, r.id or "") for r in rows.filter("seq = 1").collect()) == [("a", ""), ("b/new/w", "8"), ("b/x", "9")]
