@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Edges that a file of a round holds at least, on average; a small table is not dealt over as many files as a large one.
+SHARE = 50_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node long, root long): the smallest node reachable, for every node of `edges` (a long, b long).
@@ -14,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until the edges no longer
     change; after that every node points at the smallest of its component.
     Rounds grow with the logarithm of the longest path, each round keeps at
-    most as many edges as it got. Minima are taken with map-side combining; the
+    most as many edges as it got, and so is written in as few files as that many
+    fill. Minima are taken with map-side combining; the
     joins back to the edges are plain equi-joins, whose hot keys adaptive
     execution splits. Loops (a = b) and repeated edges are harmless, nulls are
     dropped, no edges give no rows.
@@ -26,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         if not mark[0]:
             break
-        now = checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(_large_star(now)).coalesce(-(-mark[0] // SHARE)))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
