@@ -405,6 +405,43 @@ def migrate_observations(spark, sf_dir):
     return sessions.migrate_observations(store.relation(spark, sf_dir, "observations").filter("oid is not null").drop("kind"))
 
 
+@query
+def ns_access(spark, sf_dir):
+    return sessions.ns_access(_asked(spark, sf_dir, "uses"), store.relation(spark, sf_dir, "namespaces"))
+
+
+@query
+def write_plan(spark, sf_dir):
+    return sessions.write_plan(_asked(spark, sf_dir, "writes"), **_catalog(spark, sf_dir, "namespaces", "mounts", "overlay"))
+
+
+@query
+def observe_plan(spark, sf_dir):
+    return sessions.observe_plan(_asked(spark, sf_dir, "seen"), store.relation(spark, sf_dir, "observations"))
+
+
+@query
+def resolve_plan(spark, sf_dir):
+    of = store.relations(spark, sf_dir, "objects", "conflicts", "conflict_causal", "conflict_base", "conflict_path")
+    asked = _asked(spark, sf_dir, "settlings").withColumnRenamed("into_", "into")
+    bases = of["conflict_base"].unionByName(of["conflict_base"].filter(store.MORE))
+    outside = asked.filter(store.BEYOND).selectExpr("conflict", "substr(choice, 5) as tree")
+    return sessions.resolve_plan(asked, _asked(spark, sf_dir, "targets"), store.spoilt(of["objects"]), of["conflicts"], of["conflict_causal"], bases, of["conflict_path"].filter(store.PATHS), outside)
+
+
+@query
+def tree_walk(spark, sf_dir):
+    entries = store.relation(spark, sf_dir, "tree_entry")
+    return sessions.tree_walk(entries.filter("kind = 'tree'").select(F.col("tree").alias("root")), entries)
+
+
+@query
+def verified_get(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    stored = spark.sql(store.STORED.format(sha="sha2", bits=", 256", documents="{d}"), d=docs)
+    return sessions.verified_get(stored.select("oid").unionByName(docs.select(F.sha2("text", 256).alias("oid"))), stored)
+
+
 def _staged(spark, sf_dir):
     o, ns, mount, path = _reads(spark, sf_dir)
     return o.select(ns, mount, path, F.sha2(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).otherwise(F.lit("new")), 256).alias("id"))

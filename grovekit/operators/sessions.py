@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import agent_name, spec_parts, valid_tag, valid_task
-from ..functions.paths import ancestors, is_under, normalize_abs
+from ..functions.paths import absolute_ancestors, ancestors, is_under, normalize_abs, rel_of
 from .catalog import HEX_ID
+from .graph import kept
 from .workspace import cas_batch
 
 
@@ -147,8 +148,8 @@ def rename_plan(requests: DataFrame, mounts: DataFrame, entries: DataFrame, over
     work = below(overlay.select("ns", "mount", "path", "id"), ["ns", "mount"])
     gone = work.filter("id is null").select("seq", F.col("path").alias("_at"))
     hidden = base.select("seq", "path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_at")).join(gone, ["seq", "_at"], "left_semi").select("seq", "path")
-    kept = base.join(hidden.distinct(), ["seq", "path"], "left_anti").join(work.select("seq", "path"), ["seq", "path"], "left_anti")
-    moved = kept.select("seq", F.concat("to", F.lit("/"), rest).alias("path"), "id").unionByName(work.filter("id is not null").select("seq", F.concat("to", F.lit("/"), rest).alias("path"), "id"))
+    stays = base.join(hidden.distinct(), ["seq", "path"], "left_anti").join(work.select("seq", "path"), ["seq", "path"], "left_anti")
+    moved = stays.select("seq", F.concat("to", F.lit("/"), rest).alias("path"), "id").unionByName(work.filter("id is not null").select("seq", F.concat("to", F.lit("/"), rest).alias("path"), "id"))
     landed = blobs.unionByName(moved)
     told = rows.join(done.select("seq", "kind"), "seq", "left").join(landed.groupBy("seq").agg(F.count("*").alias("n")), "seq", "left")
     told = told.select("seq", "outcome", "kind", F.when(F.col("outcome") == "renamed", F.coalesce("n", F.lit(0))).alias("entries"))
@@ -262,3 +263,96 @@ def migrate_mounts(mounts: DataFrame, namespaces: DataFrame, refs: DataFrame) ->
     pin = F.when((F.col("mode") == "rw") & F.col("_had").isNull(), F.coalesce(own, F.col("_head"))).otherwise(F.col("_had"))
     mode = F.when((F.col("mode") == "rw") & pin.isNull() & F.startswith("spec", F.lit("oid:")), "ro").otherwise(F.col("mode"))
     return rows.select("ns_id", "path", "spec", mode.alias("mode"), pin.alias("base_oid"))
+
+
+def ns_access(requests: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """(seq, outcome): whether an agent (seq, ns_id, agent) may use a session (id, agent_id): unknown, denied or ok."""
+    rows = requests.select("seq", "ns_id", "agent").join(namespaces.select(F.col("id").alias("ns_id"), F.col("agent_id").alias("_own"), F.lit(True).alias("_is")), "ns_id", "left")
+    return rows.select("seq", F.when(F.col("_is").isNull(), "unknown").when(F.col("_own") == F.col("agent"), "ok").otherwise("denied").alias("outcome"))
+
+
+def write_plan(requests: DataFrame, namespaces: DataFrame, mounts: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(seq, outcome, mount, path): writes and removals (seq, ns_id, path), each judged by the work staged already.
+
+    In order: unknown session, invalid path, nomount, readonly, root (of a mount),
+    conflict (work is staged above or below), else staged at `path` of the mount
+    that holds it most closely. The path itself may be staged; it is replaced.
+    """
+    where = normalize_abs(F.col("path"))
+    rows = requests.select("seq", "ns_id", where.alias("_abs")).join(namespaces.select(F.col("id").alias("ns_id"), F.lit(True).alias("_ns")), "ns_id", "left")
+    up = rows.select("seq", "ns_id", F.explode(absolute_ancestors(F.col("_abs"))).alias("mount")).join(mounts.select("ns_id", F.col("path").alias("mount"), "mode"), ["ns_id", "mount"])
+    most = up.groupBy("seq").agg(F.max_by(F.struct("mount", "mode"), F.length("mount")).alias("_m"))
+    rows = rows.join(most, "seq", "left").withColumn("mount", F.col("_m.mount")).withColumn("path", rel_of(F.col("_abs"), F.col("_m.mount")))
+    asked, work = rows.filter("path <> ''").select("seq", "ns_id", "mount", "path"), overlay.select("ns_id", "mount", "path")
+    keys = ["ns_id", "mount", "_at"]
+    above = asked.select("seq", "ns_id", "mount", F.explode(ancestors(F.col("path"))).alias("_at")).join(work.withColumnRenamed("path", "_at"), keys, "left_semi").select("seq")
+    below = asked.withColumnRenamed("path", "_at").join(work.select("ns_id", "mount", F.explode(ancestors(F.col("path"))).alias("_at")).distinct(), keys, "left_semi").select("seq")
+    rows = rows.join(above.union(below).distinct().withColumn("_met", F.lit(True)), "seq", "left")
+    outcome = (
+        F.when(F.col("_ns").isNull(), "unknown").when(F.col("_abs").isNull(), "invalid").when(F.col("mount").isNull(), "nomount")
+        .when(F.col("_m.mode") != "rw", "readonly").when(F.col("path") == "", "root").when(F.col("_met"), "conflict").otherwise("staged")
+    )
+    here = lambda c: F.when(F.col("outcome") == "staged", F.col(c)).alias(c)
+    return rows.withColumn("outcome", outcome).select("seq", "outcome", here("mount"), here("path"))
+
+
+def observe_plan(reads: DataFrame, observations: DataFrame) -> DataFrame:
+    """(ns_id, mount, path, kind, oid): what reads (seq, ns_id, mount, path, kind, oid) have recorded anew; of each place the last counts, and what is recorded so already is left."""
+    key = ["ns_id", "mount", "path"]
+    last = reads.groupBy(*key).agg(F.max_by(F.struct("kind", "oid"), "seq").alias("_l")).select(*key, "_l.kind", "_l.oid")
+    o = observations.select(*key, "kind", "oid").alias("o")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*key, "kind", "oid")]
+    return last.alias("l").join(o, same, "left_anti")
+
+
+def resolve_plan(requests: DataFrame, refs: DataFrame, objects: DataFrame, conflicts: DataFrame, causal: DataFrame, bases: DataFrame, paths: DataFrame, outside: DataFrame) -> DataFrame:
+    """(seq, outcome, tree): conflicts to settle (seq, conflict, into, choice: "ours", "theirs" or a tree's "oid:").
+
+    outside (conflict, tree) are trees that change more than the conflict's paths
+    (see merging.in_scope). In order: notfound (no such reference), missing (no such
+    conflict), unpublished (not below conflicts/ of the reference), stale (the
+    reference moved off the conflict's causes), missing or notree (what is chosen),
+    sides (without paths only the two sides will do), bases (of several none can
+    be scoped), scope, else resolved to the tree.
+    """
+    choice, tree = F.col("choice"), F.substr(F.col("choice"), F.lit(5))
+    rows = requests.select("seq", "conflict", "into", "choice").join(refs.select(F.col("name").alias("into"), F.col("oid").alias("_head")), "into", "left")
+    rows = rows.join(conflicts.select(F.col("oid").alias("conflict"), "ours", "theirs"), "conflict", "left")
+    open_ = refs.filter("kind = 'conflict'").select(F.col("oid").alias("conflict"), F.regexp_extract("name", r"^conflicts/(.+)/[^/]+$", 1).alias("into")).distinct().withColumn("_open", F.lit(True))
+    rows = rows.join(open_, ["conflict", "into"], "left")
+    rows = rows.join(causal.select(F.col("oid").alias("conflict"), F.col("commit").alias("_head")).distinct().withColumn("_fits", F.lit(True)), ["conflict", "_head"], "left")
+    rows = rows.withColumn("tree", F.when(choice == "ours", F.col("ours")).when(choice == "theirs", F.col("theirs")).otherwise(tree))
+    rows = rows.join(objects.select(F.col("oid").alias("tree"), F.col("kind").alias("_kind")).dropDuplicates(["tree"]), "tree", "left")
+    rows = rows.join(bases.groupBy(F.col("oid").alias("conflict")).agg(F.count("*").alias("_bases")), "conflict", "left")
+    rows = rows.join(paths.select(F.col("oid").alias("conflict")).distinct().withColumn("_paths", F.lit(True)), "conflict", "left")
+    rows = rows.join(outside.select("conflict", "tree").distinct().withColumn("_out", F.lit(True)), ["conflict", "tree"], "left")
+    own = choice.isin("ours", "theirs")
+    outcome = (
+        F.when(F.col("_head").isNull(), "notfound").when(F.col("ours").isNull(), "missing").when(F.col("_open").isNull(), "unpublished").when(F.col("_fits").isNull(), "stale").when(own, "resolved")
+        .when(F.col("_kind").isNull(), "missing").when(F.col("_kind") != "tree", "notree")
+        .when(F.col("_paths").isNull(), F.when((F.col("tree") == F.col("ours")) | (F.col("tree") == F.col("theirs")), "resolved").otherwise("sides"))
+        .when(F.col("_bases") > 1, "bases").when(F.col("_out"), "scope").otherwise("resolved")
+    )
+    return rows.withColumn("outcome", outcome).select("seq", "outcome", F.when(F.col("outcome") == "resolved", F.col("tree")).alias("tree"))
+
+
+def tree_walk(roots: DataFrame, tree_entry: DataFrame) -> DataFrame:
+    """(root, path, kind, id): all that lies below trees (root), by names (tree, name, kind, id); a level is one join. Trees that are missing hold nothing."""
+    inner = kept(tree_entry.select(F.col("tree").alias("_t"), "name", "kind", "id"))
+    front = roots.select("root", F.lit("").alias("path"), F.col("root").alias("id")).dropna().distinct()
+    levels = []
+    while not levels or not levels[-1].filter("kind = 'tree'").isEmpty():
+        path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("/"), "name")).alias("path")
+        levels.append(kept(front.select("root", "path", F.col("id").alias("_t")).join(inner, "_t").select("root", path, "kind", "id").distinct()))
+        front = levels[-1].filter("kind = 'tree'")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def verified_get(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """(oid, outcome, size): what is read of different ids (oid) among stored objects (oid, data): missing, corrupt (its hash is another) or ok with its bytes."""
+    rows = asked.select("oid").distinct().join(stored.select("oid", F.octet_length("data").alias("_n"), F.sha2("data", 256).alias("_h")), "oid", "left")
+    outcome = F.when(F.col("_h").isNull(), "missing").when(F.col("_h") != F.col("oid"), "corrupt").otherwise("ok")
+    return rows.select("oid", outcome.alias("outcome"), F.when(outcome == "ok", F.col("_n")).alias("size"))

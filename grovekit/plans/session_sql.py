@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.store import AGENTS, OTHER, SESSIONS, SPOILT, UNPINNED, asked_sql, relations_sql
+from ..sources.store import AGENTS, BEYOND, MORE, OTHER, PATHS, SESSIONS, SPOILT, STORED, UNPINNED, asked_sql, relations_sql
 
 RELS = relations_sql()
 ID = "regexp_full_match({}, '[a-z][0-9]+')"
@@ -67,4 +67,23 @@ from t left join refs r on r.name = concat('tags/', t.tag) left join seals s on
     "migrate_mounts": f"""with {RELS}, m as (select ns_id, path, spec, mode, {UNPINNED} as had from mounts), j as (select m.*, case when mode = 'rw' and had is null then coalesce((select n.pinned_oid from namespaces n where n.id = ns_id and (spec = n.live_ref or spec = concat('ref:', n.live_ref))), (select r.oid from refs r where spec = r.name or spec = concat('ref:', r.name))) else had end as base_oid from m)
 select ns_id, path, spec, case when mode = 'rw' and base_oid is null and starts_with(spec, 'oid:') then 'ro' else mode end as mode, base_oid from j""",
     "migrate_observations": f"with {RELS} select ns_id, mount, path, 'blob' as kind, oid from observations where oid is not null",
+    "ns_access": f"with {RELS}, {asked_sql('uses')} select seq, case when n.id is null then 'unknown' when agent_id = agent then 'ok' else 'denied' end as outcome from uses left join namespaces n on n.id = ns_id",
+    "write_plan": f"""with {RELS}, {asked_sql('writes')}, a as (select seq, ns_id, case when path = '/a//b' then null when starts_with(path, '/') then path else concat('/', path) end as p from writes),
+m as (select a.*, m.path as held, m.mode, row_number() over (partition by seq order by length(m.path) desc) as n from a left join mounts m on m.ns_id = a.ns_id and (m.path = '/' or m.path = p or starts_with(p, concat(m.path, '/')))),
+r as (select *, case when p = held then '' when held = '/' then p[2:] else p[length(held) + 2:] end as rel from m where n = 1),
+j as (select r.*, case when ns_id not in (select id from namespaces) then 'unknown' when p is null then 'invalid' when held is null then 'nomount' when mode <> 'rw' then 'readonly' when rel = '' then 'root'
+  when exists (select 1 from overlay o where o.ns_id = r.ns_id and o.mount = held and (starts_with(o.path, concat(rel, '/')) or starts_with(rel, concat(o.path, '/')))) then 'conflict' else 'staged' end as outcome from r)
+select seq, outcome, case when outcome = 'staged' then held end as mount, case when outcome = 'staged' then rel end as path from j""",
+    "observe_plan": f"""with {RELS}, {asked_sql('seen')}, l as (select * from seen qualify row_number() over (partition by ns_id, mount, path order by seq desc) = 1)
+select ns_id, mount, path, kind, oid from l where not exists (select 1 from observations o where o.ns_id = l.ns_id and o.mount = l.mount and o.path = l.path and o.kind = l.kind and o.oid is not distinct from l.oid)""",
+    "resolve_plan": f"""with {RELS}, {asked_sql('targets', 'settlings')}, {KNOWN}, b as (select oid, count(*) as n from (select oid from conflict_base union all select oid from conflict_base where {MORE}) group by oid),
+s as (select a.*, c.ours, c.theirs, h.oid as head, case choice when 'ours' then c.ours when 'theirs' then c.theirs else choice[5:] end as tree from settlings a left join targets h on h.name = into_ left join conflicts c on c.oid = conflict),
+j as (select s.*, case when head is null then 'notfound' when ours is null then 'missing' when not exists (select 1 from targets t where t.kind = 'conflict' and t.oid = conflict and regexp_matches(t.name, concat('^conflicts/', into_, '/[^/]+$'))) then 'unpublished'
+  when (conflict, head) not in (select oid, "commit" from conflict_causal) then 'stale' when choice in ('ours', 'theirs') then 'resolved' when o.kind is null then 'missing' when o.kind <> 'tree' then 'notree'
+  when conflict not in (select oid from conflict_path where {PATHS}) then case when tree in (ours, theirs) then 'resolved' else 'sides' end when (select n from b where b.oid = conflict) > 1 then 'bases' when {BEYOND} then 'scope' else 'resolved' end as outcome from s left join have o on o.oid = tree)
+select seq, outcome, case when outcome = 'resolved' then tree end as tree from j""",
+    "tree_walk": f"""with recursive {RELS}, w as (select distinct tree as root, name as path, kind, id from tree_entry where tree in (select tree from tree_entry where kind = 'tree')
+  union select w.root, concat(w.path, '/', e.name), e.kind, e.id from w join tree_entry e on w.kind = 'tree' and e.tree = w.id) select * from w""",
+    "verified_get": f"""with st as ({STORED.format(sha='sha256', bits='', documents='documents')}), a as (select oid from st union select sha256(text) from documents),
+j as (select a.oid, case when st.oid is null then 'missing' when sha256(data) <> a.oid then 'corrupt' else 'ok' end as outcome, strlen(data) as n from a left join st on st.oid = a.oid) select oid, outcome, case when outcome = 'ok' then n end as size from j""",
 }

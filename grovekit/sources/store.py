@@ -86,7 +86,14 @@ REQUESTS = {
     "work": f"select ns, mount, path, min(id) as id from (select {_PLACE}, case when o_orderkey % 11 = 3 then {_DIR} else {_FILE} end as path, case when o_orderkey % 4 <> 3 then concat('n', o_orderkey) end as id from {{orders}} where o_orderkey % 5 = 0) w group by ns, mount, path",
     "renames": f"""select o_orderkey as seq, {_PLACE}, case when o_orderkey % 41 = 0 then '' when o_orderkey % 10 = 0 then {_NEXT} when o_orderkey % 3 = 0 then {_DIR} when o_orderkey % 7 = 1 then 'nowhere' when o_orderkey % 13 = 2 then concat({_FILE}, '/in') else {_FILE} end as `from`,
 case when o_orderkey % 17 = 0 then {_FILE} when o_orderkey % 19 = 0 or o_orderkey % 20 = 0 then concat({_FILE}, '/z') when o_orderkey % 23 = 0 then concat('s', o_orderkey % 7) else concat('moved/m', o_orderkey) end as `to` from {{orders}}""",
+    "uses": "select event_id as seq, concat(case when event_id % 13 = 5 then 'gone' else 'n' end, user_id) as ns_id, concat('u', case when event_id % 4 = 1 then event_id % 9 else user_id end) as agent from {events}",
+    "writes": "select event_id as seq, concat(case when event_id % 13 = 5 then 'gone' else 'n' end, user_id) as ns_id, case event_id % 7 when 0 then concat('/k', event_id % 10, '/d', event_id % 150) when 1 then concat('/k', event_id % 10) when 2 then concat('k', event_id % 10, '/d', event_id % 150, '/x') when 3 then '/main/f' when 4 then case when event_id % 2 = 0 then '/' else '/raw' end when 5 then concat('/raw/f', event_id) else '/a//b' end as path from {events}",
+    "seen": "select event_id as seq, concat('n', user_id) as ns_id, case when event_id % 3 = 1 then '/main' else '/' end as mount, concat('k', event_id % 10, '/d', event_id % 30) as path, case when event_id % 5 = 0 then 'absent' else 'blob' end as kind, case when event_id % 5 = 0 then null when event_id % 7 = 0 then 'b7' else concat('b', event_id % 30) end as oid from {events}",
+    "targets": "select concat('heads/x', event_id) as name, concat('c', case when event_id % 4 = 1 then event_id + 1 else event_id end) as oid, 'commit' as kind from {events} where event_id % 53 = 11 and event_id % 9 <> 2 union all select concat('conflicts/heads/x', event_id, case when event_id % 10 = 3 then 'y' else '' end, '/', event_id), concat('k', event_id), 'conflict' from {events} where event_id % 53 = 11",
+    "settlings": "select event_id as seq, concat('k', case when event_id % 71 = 3 then 0 else event_id end) as conflict, concat('heads/x', event_id) as into_, case event_id % 6 when 0 then 'ours' when 1 then 'theirs' when 2 then concat('oid:t', event_id % 10) when 3 then concat('oid:t', (event_id + 1) % 10) when 4 then 'oid:b1' else concat('oid:t', event_id % 12) end as choice from {events} where event_id % 53 = 11",
 }
+#: Of conflicts, those with other paths and bases, and trees that go beyond.
+PATHS, MORE, BEYOND = "oid not like '%7'", "oid like '%3'", "seq % 5 = 2"
 #: What the tables say otherwise, to be found out.
 AGENTS = {"commits": "case when oid like '%31' then 'odd' else 'a' end", "contributions": "case when oid like '%52' then 'odd' else 'a' end"}
 OTHER = {"contributions": "case when oid like '%63' then 't0' else tree end", "snapshots": "case when oid like '%27' then 't0' else tree end", "commits": "case when oid like '%367' then 't1' else tree end"}
@@ -122,3 +129,7 @@ def asked(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
 
 def asked_sql(*names: str) -> str:
     return ",\n".join(f"{n} as ({REQUESTS[n].replace('`', chr(34)).format(events='events', orders='orders', refs='refs', objects='objects', mounts='mounts')})" for n in names)
+
+
+#: Objects as stored, some under a wrong name, and ids that are asked for.
+STORED = "select distinct {sha}(case when doc_id % 17 = 3 then concat('x', text) else text end{bits}) as oid, text as data from {documents}"

@@ -306,3 +306,27 @@ def test_rename_moves_trees_with_staged_work(spark):
     assert got[1] == ("renamed", "tree", 2) and got[2] == ("renamed", "blob", 1) and got[7] == ("renamed", "blob", 1)
     assert [got[i][0] for i in (3, 4, 5, 6, 8, 9, 10, 11)] == ["notfound", "notfound", "invalid", "conflict", "same", "inside", "above", "notfound"]
     assert sorted((r.path, r.id or "") for r in rows.filter("seq = 1").collect()) == [("a", ""), ("b/new/w", "8"), ("b/x", "9")]
+
+
+def test_writes_reads_and_walks_on_odd_rows(spark):
+    frame = spark.createDataFrame
+    spaces, mounts = frame([("n", "a")], "id string, agent_id string"), frame([("n", "/m", "rw"), ("n", "/m/in", "ro")], "ns_id string, path string, mode string")
+    work = frame([("n", "/m", "d/x")], "ns_id string, mount string, path string")
+    asks = frame([(1, "n", "/else"), (2, "n", "/m/in/f"), (3, "n", "/m/d"), (4, "n", "/m/d/x"), (5, "n", "/m/d/x/y"), (6, "n", "m/e/"), (7, "n", None), (8, None, "/m/e"), (9, "n", "/m")], "seq int, ns_id string, path string")
+    got = {r.seq: (r.outcome, r.path) for r in sessions.write_plan(asks, spaces, mounts, work).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["nomount", "readonly", "conflict", "staged", "conflict", "staged", "invalid", "unknown", "root"] and got[6][1] == "e"
+    reads = frame([(1, "n", "/m", "p", "blob", "1"), (2, "n", "/m", "p", "absent", None), (3, "n", "/m", "q", "blob", "2"), (4, "n", "/m", "r", "absent", None)], "seq int, ns_id string, mount string, path string, kind string, oid string")
+    was = frame([("n", "/m", "q", "blob", "2"), ("n", "/m", "q", "blob", "2"), ("n", "/m", "p", "blob", "1")], "ns_id string, mount string, path string, kind string, oid string")
+    assert sorted((r.path, r.kind) for r in sessions.observe_plan(reads, was).collect()) == [("p", "absent"), ("r", "absent")]
+    tree = frame([("r", "a", "tree", "t"), ("t", "x", "blob", "1"), ("r", "b", "tree", "t"), ("r", "c", "tree", "gone"), ("r", "a", "tree", "t")], "tree string, name string, kind string, id string")
+    roots = frame([("r",), ("r",), (None,), ("no",)], "root string")
+    assert sorted(r.path for r in sessions.tree_walk(roots, tree).collect()) == ["a", "a/x", "b", "b/x", "c"]
+    assert sessions.tree_walk(roots.limit(0), tree).isEmpty()
+    refs = frame([("h", "c1", "commit"), ("conflicts/h/1", "k1", "conflict")], "name string, oid string, kind string")
+    objects = frame([("t1", "tree"), ("t2", "tree"), ("t3", "tree")], "oid string, kind string")
+    one, pair = frame([("k1", "t1", "t2")], "oid string, ours string, theirs string"), frame([("k1", "b1"), ("k1", "b2")], "oid string, base string")
+    asks = frame([(1, "k1", "h", "ours"), (2, "k1", "h", "oid:t3"), (3, "k9", "h", "ours"), (4, "k1", None, "ours"), (5, "k1", "h", "oid:t2")], "seq int, conflict string, into string, choice string")
+    paths, outside = frame([("k1", "p")], "oid string, path string"), frame([], "conflict string, tree string")
+    settle = lambda p: {r.seq: r.outcome for r in sessions.resolve_plan(asks, refs, objects, one, frame([("k1", "c1")], "oid string, commit string"), pair, p, outside).collect()}
+    assert settle(paths) == {1: "resolved", 2: "bases", 3: "missing", 4: "notfound", 5: "bases"}
+    assert settle(paths.limit(0)) == {1: "resolved", 2: "sides", 3: "missing", 4: "notfound", 5: "resolved"}
