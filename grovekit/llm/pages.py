@@ -160,22 +160,25 @@ class Slot:
     vector: object = None
 
 
-def template(slots: dict[str, Slot]) -> dict[str, str]:
-    """The nested template: each element of a valid class, with the element of the template that holds it.
+def template(slots: dict[str, Slot]) -> dict[str, tuple[str, ...]]:
+    """The nested template: each element with the outermost elements of its record.
 
     Elements of one occurrence vector are a class. Classes nest by the elements
-    around them: a class is valid if all of its outermost elements lie within elements
-    of one other class; the class on every page once is the root.
+    around them: a class whose outermost elements lie within several elements is as
+    many valid ones, one by element around. What such a class holds within one
+    element is a record: it is on a page as a whole, or not at all.
     """
     classes: defaultdict[object, list[str]] = defaultdict(list)
     for path in sorted(slots):
         classes[slots[path].vector].append(path)
-    up = {p: next((a for a in _above(p.rpartition("/")[0]) if a in slots), "") for p in slots}
-    out: dict[str, str] = {}
+    out: dict[str, tuple[str, ...]] = {}
     for members in map(frozenset, classes.values()):
-        outer = {slots[up[p]].vector if up[p] else None for p in members if up[p] not in members}
-        if len(outer) <= 1 or all(not up[p] or slots[up[p]].pages >= slots[p].pages for p in members):
-            out.update((p, up[p]) for p in members)
+        records: defaultdict[str, list[str]] = defaultdict(list)
+        outermost = {p: [a for a in _above(p) if a in members][-1] for p in members}
+        for path in sorted(set(outermost.values())):
+            records[next((a for a in _above(path.rpartition("/")[0]) if a in slots), "")].append(path)
+        record = {p: tuple(ps) for ps in records.values() for p in ps}
+        out.update((p, record[outermost[p]]) for p in members)
     return out
 
 
@@ -183,11 +186,12 @@ def decide(slots: dict[str, Slot], pages: int) -> set[str]:
     """Elements that hold no article, from the slots of a host's template, or of a page by itself.
 
     Apart from elements whose meaning says it, a slot goes by what it holds: mostly
-    links (a menu), or text that rotates over the pages. Names decide only over
-    minor slots of varying text. What holds most of the free text never goes,
+    links (a menu), or text that rotates over the pages. A minor part of a record
+    that is on some of many pages only goes by what all of it holds as well, so an
+    advert takes its own varying parts along. Names decide only over minor slots of varying text. What holds most of the free text never goes,
     unless there is an element that says it holds the article, and this is beside it.
     """
-    nested = template(slots)
+    nested = template(slots) if pages >= MANY else {}
     whole: defaultdict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for path, s in slots.items():
         for up in _above(path):
@@ -204,15 +208,20 @@ def decide(slots: dict[str, Slot], pages: int) -> set[str]:
     richest = max((w[1] / w[0] for p, w in whole.items() if w[0] and not out(p) and w[2] - w[3] >= MINOR * free), default=1.0)
     articles = [p for p in whole if _name(p) in ARTICLE and not out(p)]
     around = {up for p in articles for up in _above(p.rpartition("/")[0])}
+    held = {r: [sum(x) for x in zip(*(whole[p] for p in r if p in whole and not out(p)), strict=True)] for r in set(nested.values()) if len(r) > 1}
     for path in order:
         blocks, texts, chars, linked = whole[path]
-        if out(path) or path not in nested or _name(path) in WHOLE or path in around:
+        if out(path) or path not in slots or _name(path) in WHOLE or path in around:
             continue
         inside = _inside(path)
         if chars - linked >= MINOR * free and (inside or not articles):
             continue
-        menu = not inside and linked >= LINKED * max(1, chars)
-        rotates = not inside and pages >= MANY and blocks and texts / blocks <= ROTATING * richest
+        evidence = [(blocks, texts, chars, linked)]
+        record = held.get(nested.get(path))
+        if record and path in nested[path] and slots[path].pages < pages and chars < MINOR * record[2]:
+            evidence.append(record)
+        menu = not inside and any(e[3] >= LINKED * max(1, e[2]) for e in evidence)
+        rotates = not inside and pages >= MANY and any(e[0] and e[1] / e[0] <= ROTATING * richest for e in evidence)
         if menu or rotates or _tie(path):
             gone.add(path)
     return gone
@@ -313,7 +322,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for n, ts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 slots = {t["path"]: Slot(t["pages"], t["blocks"], t["texts"] or 0, t["chars"], t["linked"], t["vector"]) for t in ts if t["key"] is None and t["path"]}
                 gone.append(sorted(decide(slots, n)))
-                known.append(sorted(template(slots)))
+                known.append(sorted(slots))
                 own = [(t["path"], t["key"], bool(t["blocks"])) for t in ts if t["key"] is not None]
                 text.append(repeated(own, slots))
             strings = pa.list_(pa.string())

@@ -459,6 +459,20 @@ def test_pages_by_template(spark):
             assert all(got[i] == pages.extract(h, *told) for i, h in of)
 
 
+def test_pages_lose_whole_records(spark):
+    """A small part of an advert that varies from page to page goes with it, one on other pages and one on all stay."""
+    record = "<div class='o1'>Offer code {0}</div><div class='o2'>Buy thing {1} of our shop today and save<br>Only for readers {1} like you</div>"
+    page = "<body><div class='k'><h1>Title {0}</h1>" + BODY + "{1}{2}<div class='o4'>Signed by author {0}</div></div></body>"
+    web = [(i, f"http://records.example/{i}", page.format(i, record.format(i, i % 3) if i % 3 < 2 else "", f"<div class='o3'>Remark on {i}</div>" if i % 4 else "")) for i in range(18)]
+    rows = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(web, "page_id long, url string, html string")).collect()}
+    body = " ".join(["Words of page {0} here."] * 20)
+    for i in range(18):
+        assert rows[i] == f"Title {i}\n{body.format(i)}\n" + (f"Remark on {i}\n" if i % 4 else "") + f"Signed by author {i}"
+    slots = {p: pages.Slot(n, n, n, 9 * n, 0, v) for p, n, v in (("/body", 12, 1), ("/body/div.a", 8, 2), ("/body/div.a/p", 8, 2), ("/body/div.b", 8, 2), ("/body/section/div.c", 8, 2), ("/body/section", 12, 1))}
+    told = pages.template(slots)
+    assert told["/body/div.a/p"] == told["/body/div.b"] == ("/body/div.a", "/body/div.b") and told["/body/section/div.c"] == ("/body/section/div.c",)
+
+
 def test_pages_lose_repeated_text(spark):
     page = "<body><article><h1>Head of {0}</h1><div class='x'>Tell your friends</div><p>Text number {0}</p>{1}<p>All rights are ours</p></article></body>"
     web = [(i, f"http://h.example/{i}", page.format(i, "<p>We use your data</p>" if i % 3 else "")) for i in range(9)]
