@@ -3,7 +3,7 @@
 All but the last return the columns of documents. What each stage decides:
 quality rules drop documents, near-duplicates leave one document a group, secrets
 are masked in the text, sources are mixed to weights by repeating or leaving out
-documents, and what is left is encoded.
+documents, and what is left is encoded and decoded again.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) of every row."""
-    return encode_decode(docs, decode=False, id_cols=("doc_id", "source"))
+    """Token ids (little-endian unsigned 32-bit integers) of every row, and the text that they decode to."""
+    return encode_decode(docs, id_cols=("doc_id", "source"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]

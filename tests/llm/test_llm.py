@@ -575,6 +575,12 @@ def test_pipeline(spark, tmp_path):
     assert got == want and {i for i, _ in got} <= set(range(40))
 
 
+def test_encoding_stage_decodes(spark):
+    texts = ["plain words", "  two  blanks ", "日本語 \U00020000\n", "", None]
+    rows = corpus_pipeline.encoding(spark, table(spark, texts), "").collect()
+    assert sorted(r.decoded for r in rows) == sorted(t or "" for t in texts) and all(len(r.token_ids) == 4 * r.n_tokens for r in rows)
+
+
 def test_near_duplicates_without_usable_ids(spark):
     rnd = random.Random(12)
     text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(80))
